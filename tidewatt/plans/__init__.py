@@ -1 +1 @@
-
+"""Planning over the manifest: envelopes, coverage, shards, late data, retention gates."""

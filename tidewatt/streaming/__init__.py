@@ -1 +1 @@
-
+"""Structured Streaming ingest, and a bounded single writer."""
