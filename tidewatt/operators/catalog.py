@@ -121,8 +121,26 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, nodes: DataFrame, rule: str) -> DataFrame:
-    """Nodes that lie on a cycle of references or lead into one."""
-    return levels(edges, nodes).where("level < 0").select(F.lit(rule).alias("rule"), F.col("id").cast("string").alias("object"))
+    """Nodes that lie on a cycle of references or lead into one.
+
+    References to a node without references are dropped until nothing changes: one join and
+    one count a round, as many rounds as the longest chain.
+    """
+    links = edges.select("id", "ref").where("ref is not null").distinct().join(nodes.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref")
+    links = _cut(links)
+    left = links.count()
+    for _ in range(MAX_DEPTH):
+        if not left:
+            break
+        then = _cut(links.join(links.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref"))
+        now = then.count()
+        links = then
+        if now == left:
+            break
+        left = now
+    else:
+        raise LimitError(f"a chain of more than {MAX_DEPTH} references")
+    return links.select(F.lit(rule).alias("rule"), F.col("id").cast("string").alias("object")).distinct()
 
 
 def cycle_rules(catalog: dict[str, DataFrame]) -> DataFrame:
@@ -165,10 +183,11 @@ def point_rules(points: DataFrame, series: DataFrame | None = None, runs: DataFr
 
 def validate(catalog: dict[str, DataFrame], before: dict[str, DataFrame] | None = None) -> None:
     """Raise ModelError if the catalogue, or the way it changed, breaks a rule."""
-    found = self_rules(catalog).unionByName(reference_rules(catalog)).unionByName(cycle_rules(catalog))
+    found = self_rules(catalog).unionByName(reference_rules(catalog))
     if before is not None:
         found = found.unionByName(transition_rules(before, catalog))
     refuse(found)
+    refuse(cycle_rules(catalog))
 
 
 def refuse(violations: DataFrame) -> None:

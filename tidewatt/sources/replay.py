@@ -30,8 +30,8 @@ def read_replay(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     moved = owners.where("a != b").limit(1).collect()
     if moved:
         raise ModelError(f"series {moved[0][0]} changed owner")
-    top = F.lit(1 << 63).cast("decimal(20,0)")
-    signed = F.when(c("series_id") >= top, c("series_id") - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(c("series_id")).cast("long")
+    top = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    signed = F.when(c("series_id") >= top, c("series_id") - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(c("series_id")).cast("long")
     points = actual_points(rows.withColumn("micros", F.lit(ORIGIN_MICROS) + c("offset_ms") * 1000).withColumn("s", signed), "s", "micros", "value", "offset_ms")
     entity = F.lpad(F.lower(F.conv(c("driver_id").cast("string"), 10, 16)), 32, "0")
     prop = F.create_map(F.lit("source"), F.struct(F.lit("Text").alias("kind"), F.lit(None).cast("boolean").alias("b"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("d"), F.lit("sanitized-real-installation").alias("s")))

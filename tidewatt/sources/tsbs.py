@@ -71,7 +71,7 @@ def read_tsbs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     ordinal = F.coalesce(*[F.when((F.col("measurement") == m) & (F.col("field") == f), k) for k, (m, f, *_) in enumerate(FIELDS)])
     wide = rows.join(sets, "tags").select("key", "measurement", "micros", F.explode("fields").alias("x")).select("key", "measurement", "micros", F.col("x.name").alias("field"), "x.value").withColumn("ordinal", ordinal)
     unsigned = F.col("key") * STRIDE + F.col("ordinal") + 1
-    signed = F.when(unsigned >= F.lit(1 << 63).cast("decimal(20,0)"), unsigned - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
+    signed = F.when(unsigned >= F.lit(str(1 << 63)).cast("decimal(20,0)"), unsigned - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(unsigned).cast("long")
     wide = wide.withColumn("series_id", signed)
     points = actual_points(wide, "series_id", "micros", "value", "micros")
     entity = F.lpad(F.lower(F.conv((F.col("key") + 1).cast("string"), 10, 16)), 32, "0")
