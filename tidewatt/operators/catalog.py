@@ -43,7 +43,7 @@ def _violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 
 def self_rules(catalog: dict[str, DataFrame]) -> DataFrame:
-    """Rules that need only the object itself."""
+    """Rules that need only the object itself, of the kinds given."""
     from zoneinfo import available_timezones
 
     c = F.col
@@ -55,18 +55,19 @@ def self_rules(catalog: dict[str, DataFrame]) -> DataFrame:
     bad_tier = F.exists(tiers, lambda t: (t["retain_for_micros"].isNotNull() & (t["retain_for_micros"] <= 0)) | (
         (t["resolution"]["kind"] == "Fixed") & ~F.coalesce(t["resolution"]["micros"] > 0, F.lit(False))) | (
         (t["resolution"]["kind"] == "Calendar") & ~(F.coalesce(t["resolution"]["unit"].isin(*S.CALENDAR_UNITS), F.lit(False)) & F.coalesce(F.array_contains(F.lit(sorted(available_timezones())), t["resolution"]["tz"]), F.lit(False)))))
-    parts = [
-        _violations(catalog["entities"], "id", {"entity id is zero": zero, "entity kind is blank": blank(c("kind")), "entity name is blank": blank(c("name")), "entity validity is empty": spans, "entity is its own parent": c("parent") == c("id"), "entity properties": bad_properties("properties")}),
-        _violations(catalog["relations"], "id", {"relation id is zero": zero, "relation kind is blank": blank(c("kind")), "relation validity is empty": spans, "relation properties": bad_properties("properties")}),
-        _violations(catalog["series"], "id", {
+    rules = {
+        "entities": ({"entity id is zero": zero, "entity kind is blank": blank(c("kind")), "entity name is blank": blank(c("name")), "entity validity is empty": spans, "entity is its own parent": c("parent") == c("id"), "entity properties": bad_properties("properties")},),
+        "relations": ({"relation id is zero": zero, "relation kind is blank": blank(c("kind")), "relation validity is empty": spans, "relation properties": bad_properties("properties")},),
+        "series": ({
             "series id is zero": c("id") == 0, "series name is blank": blank(c("name")), "series quantity is blank": blank(c("physical_quantity")), "series unit is blank": blank(c("canonical_unit")),
             "series has not exactly one owner": c("owner_entity").isNull() == c("owner_relation").isNull(), "series semantics are unknown": ~c("semantics").isin(*S.SEMANTICS), "series gap is negative": c("maximum_gap_micros") < 0,
-            "series raw retention is not positive": c("rollup_policy.raw_retain_for_micros") <= 0, "series tier": bad_tier}),
-        _violations(catalog["runs"], "id", {"run id is zero": zero, "run workflow is blank": blank(c("workflow")), "run kind is unknown": ~c("kind").isin(*S.RUN_KINDS), "run status is unknown": ~c("status").isin(*S.RUN_STATUSES), "run attributes": bad_properties("attributes")}),
-        _violations(catalog["plans"], "id", {
+            "series raw retention is not positive": c("rollup_policy.raw_retain_for_micros") <= 0, "series tier": bad_tier},),
+        "runs": ({"run id is zero": zero, "run workflow is blank": blank(c("workflow")), "run kind is unknown": ~c("kind").isin(*S.RUN_KINDS), "run status is unknown": ~c("status").isin(*S.RUN_STATUSES), "run attributes": bad_properties("attributes")},),
+        "plans": ({
             "plan id is zero": zero, "plan run is zero": c("run_id") == S.ZERO_ID, "plan scenario is blank": blank(c("scenario")), "plan horizon is empty": c("horizon_end") <= c("horizon_start"), "plan resolution is not positive": c("resolution_micros") <= 0,
-            "plan supersedes itself": c("supersedes") == c("id"), "plan status is unknown": ~c("status").isin(*S.PLAN_STATUSES), "plan objective is not finite": F.exists(F.map_values("objective_terms"), lambda x: ~finite(x)) | (c("objective_value").isNotNull() & ~finite(c("objective_value"))), "plan attributes": bad_properties("attributes")}),
-    ]
+            "plan supersedes itself": c("supersedes") == c("id"), "plan status is unknown": ~c("status").isin(*S.PLAN_STATUSES), "plan objective is not finite": F.exists(F.map_values("objective_terms"), lambda x: ~finite(x)) | (c("objective_value").isNotNull() & ~finite(c("objective_value"))), "plan attributes": bad_properties("attributes")},),
+    }
+    parts = [_violations(df, "id", rules[kind][0]) for kind, df in catalog.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -76,14 +77,21 @@ def missing(child: DataFrame, key: str, parent: DataFrame, rule: str, parent_key
     return want.join(parent.select(F.col(parent_key).alias("ref")), "ref", "left_anti").select(F.lit(rule).alias("rule"), "object")
 
 
-def reference_rules(catalog: dict[str, DataFrame]) -> DataFrame:
-    e, r, s, runs, plans = (catalog[k] for k in ("entities", "relations", "series", "runs", "plans"))
-    wrong_kind = plans.join(runs.where(F.col("kind") != "Optimization").select(F.col("id").alias("run_id")), "run_id", "left_semi").select(F.lit("plan run is not an optimization").alias("rule"), F.col("id").alias("object"))
-    return reduce(DataFrame.unionByName, [
-        missing(e, "parent", e, "entity parent is missing"), missing(r, "source", e, "relation source is missing"), missing(r, "target", e, "relation target is missing"),
-        missing(s, "owner_entity", e, "series owner entity is missing"), missing(s, "owner_relation", r, "series owner relation is missing"),
-        missing(runs, "parent_run", runs, "run parent is missing"), missing(runs, "input_snapshot", runs, "run input is missing"),
-        missing(plans, "run_id", runs, "plan run is missing"), missing(plans, "supersedes", plans, "superseded plan is missing"), wrong_kind])
+#: Which column of which kind refers to which kind.
+REFERENCES = (
+    ("entities", "parent", "entities", "entity parent is missing"), ("relations", "source", "entities", "relation source is missing"), ("relations", "target", "entities", "relation target is missing"),
+    ("series", "owner_entity", "entities", "series owner entity is missing"), ("series", "owner_relation", "relations", "series owner relation is missing"),
+    ("runs", "parent_run", "runs", "run parent is missing"), ("runs", "input_snapshot", "runs", "run input is missing"),
+    ("plans", "run_id", "runs", "plan run is missing"), ("plans", "supersedes", "plans", "superseded plan is missing"))
+
+
+def reference_rules(children: dict[str, DataFrame], catalog: dict[str, DataFrame]) -> list[DataFrame]:
+    """References of ``children`` that ``catalog`` does not hold; plans of runs of a wrong kind."""
+    found = [missing(children[kind], key, catalog[parent], rule) for kind, key, parent, rule in REFERENCES if kind in children]
+    if "plans" in children:
+        others = catalog["runs"].where(F.col("kind") != "Optimization").select(F.col("id").alias("run_id"))
+        found.append(children["plans"].join(others, "run_id", "left_semi").select(F.lit("plan run is not an optimization").alias("rule"), F.col("id").alias("object")))
+    return found
 
 
 def levels(edges: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -126,8 +134,9 @@ def cycles(edges: DataFrame, nodes: DataFrame, rule: str) -> DataFrame:
     References to a node without references are dropped until nothing changes: one join and
     one count a round, as many rounds as the longest chain.
     """
-    links = edges.select("id", "ref").where("ref is not null").distinct().join(nodes.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref")
-    links = _cut(links)
+    links = edges.select("id", "ref").where("ref is not null")
+    if not links.isEmpty():
+        links = _cut(links.distinct().join(nodes.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref"))
     left = links.count()
     for _ in range(MAX_DEPTH):
         if not left:
@@ -143,11 +152,19 @@ def cycles(edges: DataFrame, nodes: DataFrame, rule: str) -> DataFrame:
     return links.select(F.lit(rule).alias("rule"), F.col("id").cast("string").alias("object")).distinct()
 
 
-def cycle_rules(catalog: dict[str, DataFrame]) -> DataFrame:
-    e, runs, plans = catalog["entities"], catalog["runs"], catalog["plans"]
-    provenance = runs.select("id", F.col("parent_run").alias("ref")).unionByName(runs.select("id", F.col("input_snapshot").alias("ref")))
-    return cycles(e.select("id", F.col("parent").alias("ref")), e, "entity parents form a cycle").unionByName(
-        cycles(provenance, runs, "run provenance forms a cycle")).unionByName(cycles(plans.select("id", F.col("supersedes").alias("ref")), plans, "plan succession forms a cycle"))
+def cycle_rules(catalog: dict[str, DataFrame], kinds=("entities", "runs", "plans")) -> list[DataFrame]:
+    found = []
+    if "entities" in kinds:
+        e = catalog["entities"]
+        found.append(cycles(e.select("id", F.col("parent").alias("ref")), e, "entity parents form a cycle"))
+    if "runs" in kinds:
+        runs = catalog["runs"]
+        provenance = runs.select("id", F.col("parent_run").alias("ref")).unionByName(runs.select("id", F.col("input_snapshot").alias("ref")))
+        found.append(cycles(provenance, runs, "run provenance forms a cycle"))
+    if "plans" in kinds:
+        plans = catalog["plans"]
+        found.append(cycles(plans.select("id", F.col("supersedes").alias("ref")), plans, "plan succession forms a cycle"))
+    return found
 
 
 def transition_rules(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
@@ -181,13 +198,20 @@ def point_rules(points: DataFrame, series: DataFrame | None = None, runs: DataFr
     return own.unionByName(unknown).unionByName(stray)
 
 
-def validate(catalog: dict[str, DataFrame], before: dict[str, DataFrame] | None = None) -> None:
-    """Raise ModelError if the catalogue, or the way it changed, breaks a rule."""
-    found = self_rules(catalog).unionByName(reference_rules(catalog))
-    if before is not None:
-        found = found.unionByName(transition_rules(before, catalog))
-    refuse(found)
-    refuse(cycle_rules(catalog))
+def validate(catalog: dict[str, DataFrame], before: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None) -> None:
+    """Raise ModelError if the catalogue, or the way it changed, breaks a rule.
+
+    With ``changed`` (the upserted rows by kind) only these and what refers to them is checked:
+    an upsert removes nothing, so references to other objects stay good.
+    """
+    rows = catalog if changed is None else changed
+    found = [self_rules(rows), *reference_rules(rows, catalog)]
+    if before is not None and ("runs" in rows or "plans" in rows):
+        found.append(transition_rules(before, {**catalog, **rows}))
+    refuse(reduce(DataFrame.unionByName, found))
+    looped = cycle_rules(catalog, [k for k in ("entities", "runs", "plans") if k in rows])
+    if looped:
+        refuse(reduce(DataFrame.unionByName, looped))
 
 
 def refuse(violations: DataFrame) -> None:
