@@ -117,7 +117,7 @@ _GAUGE_SQL = f"""WITH {NEXT_SQL}, h AS (SELECT *, CASE WHEN t1 - valid_time <= {
 SELECT series_id, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, min(valid_time) AS first_ts, arg_min(value, valid_time) AS first_value,
   max(valid_time) AS last_ts, arg_max(value, valid_time) AS last_value, round(sum(value * dur) / 3.6e9, 3) AS energy, CAST(sum(dur) AS BIGINT) AS covered,
   round(CASE WHEN sum(dur) > 0 THEN sum(value * dur) / sum(dur) END, 4) AS time_weighted_mean, round(sum(value) / count(*), 4) AS sample_mean FROM h GROUP BY 1"""
-register("gauge_aggregate", _GAUGE_SQL)(lambda spark, d: A.gauge(_winners(spark, d), GAP).select(*_gauge_columns()))
+register("gauge_aggregate", _GAUGE_SQL)(lambda spark, d: A.gauge(A.gauge_winners(events_as_points(spark, d), GAP), GAP).select(*_gauge_columns()))
 register("gauge_merge", _GAUGE_SQL)(lambda spark, d: A.merge_gauges(A.gauge_states(_winners(spark, d), GAP), GAP).select(*_gauge_columns()))
 
 _STEP_SQL = "CASE WHEN v1 >= value THEN v1 - value WHEN v1 IS NOT NULL THEN greatest(v1, 0) END"
@@ -166,13 +166,13 @@ def _calendar_sql(source: str, unit: str, tz: str, gap: int) -> str:
     return _buckets_sql(source, start, utc.format(x=f"({local.format(t='{b}')} + INTERVAL 1 {unit})"), steps, gap)
 
 
-register("gauge_rollup_30m", "WITH " + _fixed_sql(NEXT_SQL, HOUR // 2))(lambda spark, d: U.build(_winners(spark, d), HALF_HOUR, GAP).select(*_bucket_columns()))
-register("gauge_rollup_day_sthlm", "WITH " + _calendar_sql(NEXT_SQL, "day", "Europe/Stockholm", 26 * HOUR))(lambda spark, d: U.build(_winners(spark, d), STHLM_DAY, 26 * HOUR).select(*_bucket_columns()))
-register("gauge_rollup_month_sthlm", "WITH " + _calendar_sql(NEXT_SQL, "month", "Europe/Stockholm", GAP))(lambda spark, d: U.build(_winners(spark, d), STHLM_MONTH, GAP).select(*_bucket_columns()))
-register("gauge_rollup_year_sao_paulo", "WITH " + _calendar_sql(NEXT_SQL, "year", "America/Sao_Paulo", GAP))(lambda spark, d: U.build(_winners(spark, d), SAO_PAULO_YEAR, GAP).select(*_bucket_columns()))
+register("gauge_rollup_30m", "WITH " + _fixed_sql(NEXT_SQL, HOUR // 2))(lambda spark, d: U.latest_rollup(events_as_points(spark, d), HALF_HOUR, GAP).select(*_bucket_columns()))
+register("gauge_rollup_day_sthlm", "WITH " + _calendar_sql(NEXT_SQL, "day", "Europe/Stockholm", 26 * HOUR))(lambda spark, d: U.latest_rollup(events_as_points(spark, d), STHLM_DAY, 26 * HOUR).select(*_bucket_columns()))
+register("gauge_rollup_month_sthlm", "WITH " + _calendar_sql(NEXT_SQL, "month", "Europe/Stockholm", GAP))(lambda spark, d: U.latest_rollup(events_as_points(spark, d), STHLM_MONTH, GAP).select(*_bucket_columns()))
+register("gauge_rollup_year_sao_paulo", "WITH " + _calendar_sql(NEXT_SQL, "year", "America/Sao_Paulo", GAP))(lambda spark, d: U.latest_rollup(events_as_points(spark, d), SAO_PAULO_YEAR, GAP).select(*_bucket_columns()))
 _RANGE_SQL = NEXT_SQL.replace("FROM points) WHERE place = 1", f"FROM points WHERE valid_time >= {T0 + 3 * DAY} AND valid_time < {T0 + 6 * DAY}) WHERE place = 1")
 register("rollup_gauge_range", "WITH " + _fixed_sql(_RANGE_SQL, HOUR // 2))(lambda spark, d: U.rollup_gauge(events_as_points(spark, d), T0 + 3 * DAY, T0 + 6 * DAY, HALF_HOUR, GAP).select(*_bucket_columns()))
-register("gauge_coarsen_6h", "WITH " + _fixed_sql(NEXT_SQL, 6 * HOUR))(lambda spark, d: U.coarsen(U.build(_winners(spark, d), HALF_HOUR, GAP), SIX_HOURS).select(*_bucket_columns()))
+register("gauge_coarsen_6h", "WITH " + _fixed_sql(NEXT_SQL, 6 * HOUR))(lambda spark, d: U.coarsen(U.latest_rollup(events_as_points(spark, d), HALF_HOUR, GAP), SIX_HOURS).select(*_bucket_columns()))
 register("counter_rollup_day", f"""WITH {NEXT_SQL} SELECT series_id, valid_time - valid_time % {DAY} AS bucket_start, valid_time - valid_time % {DAY} + {DAY} AS bucket_end, count(*) AS count, round(coalesce(sum({_STEP_SQL}), 0), 3) AS positive_delta,
   CAST(count(*) FILTER (v1 < value) AS BIGINT) AS resets FROM n GROUP BY 1, 2, 3""")(
     lambda spark, d: U.counter_rollup(_winners(spark, d), Resolution(micros=DAY)).select("series_id", "bucket_start", "bucket_end", "count", _r("positive_delta", 3).alias("positive_delta"), "resets"))

@@ -1,8 +1,9 @@
 """Mergeable aggregates over ordered points: gauges, counters, totals, states, events.
 
-Holds (from a point to the next one of its series) are found within (series, day); the last
-point of a day takes the first one of the next day that has any, from a table of one row a
-(series, day). So no window spans a whole series, however long it is.
+Holds (from a point to the next one of its series) are found within (series, day). Where they
+are bounded by a gap of at most ``MAX_CARRY``, winners carry what ends a day's last hold into
+that day; otherwise the last point of a day takes the first one of the next day that has any,
+from a table of one row a (series, day). So no window spans a whole series.
 """
 
 from __future__ import annotations
@@ -11,15 +12,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatt.errors import InvalidArgument
 from tidewatt.functions import floor_to
+from tidewatt.operators.revisions import winners
 from tidewatt.schemas import DAY
 
 
+#: The longest gap for which points are carried: each day's worth is another copy of the table.
+MAX_CARRY = 2 * DAY
+
+
+def gauge_winners(points: DataFrame, maximum_gap: int | None) -> DataFrame:
+    """Latest revisions, ready for ``gauge`` and for rollups with that gap."""
+    gap = check_gap(maximum_gap)
+    return winners(points, carry=gap) if gap <= MAX_CARRY else winners(points)
+
+
 def _with_day(points: DataFrame) -> DataFrame:
     return points if "day" in points.columns else points.withColumn("day", floor_to(F.col("valid_time"), DAY)).repartition("series_id", "day")
 
 
 def with_next(points: DataFrame) -> DataFrame:
-    """Adds next_time and next_value of the following point of the series (null for the last)."""
+    """Adds next_time and next_value of the following point of the series (null for the last).
+
+    Winners with carried points need one window; what follows later than the carry is then null
+    or later than the carry, which is the same to a gap that is no longer than that.
+    """
+    if "own" in points.columns:
+        within = Window.partitionBy("series_id", "day").orderBy("valid_time")
+        return points.withColumn("next_time", F.lead("valid_time").over(within)).withColumn("next_value", F.lead("value").over(within)).where("own").drop("own")
     points = _with_day(points)
     firsts = points.groupBy("series_id", "day").agg(F.min("valid_time").alias("t"), F.min_by("value", "valid_time").alias("v"))
     over = Window.partitionBy("series_id").orderBy("day")

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.errors import InvalidArgument
 from tidewatt.functions import bucket_end, bucket_start, bucket_starts, floor_to
-from tidewatt.operators.aggregates import check_gap, counter, with_next
-from tidewatt.operators.revisions import in_range, winners
+from tidewatt.operators.aggregates import check_gap, counter, gauge_winners, with_next
+from tidewatt.operators.revisions import in_range
 from tidewatt.schemas import BUCKET_FIELDS, Resolution
 
 #: Buckets that one hold may touch.
@@ -51,6 +51,12 @@ def build(points: DataFrame, resolution: Resolution, maximum_gap: int | None | C
     return out.withColumn("bucket_end", bucket_end(F.col("bucket_start"), resolution)).select(*BUCKET_FIELDS)
 
 
+def latest_rollup(points: DataFrame, resolution: Resolution, maximum_gap: int | None) -> DataFrame:
+    """Buckets of the latest revisions: one exchange and one sort of the points, then one
+    aggregate with partial sums."""
+    return build(gauge_winners(points, maximum_gap), resolution, maximum_gap)
+
+
 def fixed_range(buckets: DataFrame, start: int, end: int) -> DataFrame:
     """Fixed buckets of a range are those that start in it."""
     return buckets.where((F.col("bucket_start") >= start) & (F.col("bucket_start") < end))
@@ -63,7 +69,7 @@ def overlapping(buckets: DataFrame, start: int, end: int) -> DataFrame:
 
 def rollup_gauge(points: DataFrame, start: int, end: int, resolution: Resolution, maximum_gap: int | None, series=None) -> DataFrame:
     """Buckets of the latest revisions of a range, without a look outside it."""
-    return build(winners(in_range(points, start, end, series)), resolution, maximum_gap)
+    return build(gauge_winners(in_range(points, start, end, series), maximum_gap), resolution, maximum_gap)
 
 
 def merge_exact(buckets: DataFrame, key: Column, adjacent: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ from tidewatt.errors import (
     CommitIdConflict, ConfigError, InvalidArgument, LimitError, LockedError, ModelError, NotAccepted, ReadOnlyError, SequenceNotIncreasing,
     SourceChanged, SourceSequenceConflict, StorageFault)
 from tidewatt.functions import floor_to
-from tidewatt.operators import catalog as C, revisions as R, rollup as U
+from tidewatt.operators import aggregates as A, catalog as C, revisions as R, rollup as U
 from tidewatt.plans import coverage as P
 from tidewatt.schemas import Resolution
 from tidewatt.sources import files
@@ -448,9 +448,10 @@ class EngineStore:
             try:
                 if need.isEmpty():
                     continue
+                widest = own.agg(F.max("gap")).first()[0] or 0
                 reach = need.groupBy("series_id").agg(F.min("start").alias("from"), F.max("end").alias("to")).join(own.select("series_id", "gap"), "series_id")
                 near = points.join(reach, "series_id").where((F.col("valid_time") >= F.col("from") - F.col("gap")) & (F.col("valid_time") < F.col("to") + F.greatest("gap", F.lit(1))))
-                made = U.build(R.winners(near), resolution, F.col("gap")).where(F.col("bucket_end") <= now).withColumn("start", P.shard_start(F.col("bucket_start"), resolution))
+                made = U.build(R.winners(near, carry=F.col("gap")) if widest <= A.MAX_CARRY else R.winners(near), resolution, F.col("gap")).where(F.col("bucket_end") <= now).withColumn("start", P.shard_start(F.col("bucket_start"), resolution))
                 made = made.join(need, ["series_id", "start"], "left_semi").drop("start")
                 name = self._write(made.repartitionByRange("series_id", "bucket_start").sortWithinPartitions("series_id", "bucket_start"), "rollups")
                 new.append(_checkpointed(need.join(bounds.select("series_id", "revisions"), "series_id").select("series_id", F.lit(resolution.key).alias("resolution_key"), "start", "end", F.col("revisions").alias("source_points"), F.lit(name).alias("path"))))
@@ -488,7 +489,7 @@ class EngineStore:
             low, high = gaps[0][0] - gap, gaps[-1][1] + max(gap, 1)
             near = R.in_range(self.points(), low, high, series_id)
             near = near.where(reduce(lambda a, b: a | b, [(F.col("valid_time") >= a - gap) & (F.col("valid_time") < b + max(gap, 1)) for a, b in gaps]))
-            parts.append(_within(U.build(R.winners(near), resolution, gap), gaps))
+            parts.append(_within(U.latest_rollup(near, resolution, gap), gaps))
         source = "Raw" if not used else "Materialized" if not gaps else "Hybrid"
         buckets = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], S.BUCKETS)
         return RollupQuery(buckets.orderBy("bucket_start"), source, self.manifest["generation"])
