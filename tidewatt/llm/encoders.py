@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-#: Words kept per Python worker; when full the cache starts again (about 200 bytes a word).
-CACHE_WORDS = 600_000
+from tidewatt.llm.runtime import WordCache, claim
+
 _SEPARATOR = "<|startoftext|>"
 _JOINED = 400
+_SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)").fullmatch
 
 
 class WordEncoder:
@@ -19,8 +22,13 @@ class WordEncoder:
     The vocabulary drops white space and treats every run between white space by itself
     (its normaliser and its split never look across it), so a text's ids are the ids of
     its ASCII-white-space separated chunks in turn, and each chunk is encoded once.
-    Unseen chunks go to the library together, held apart by a special token, which the
-    library cuts out before anything else; chunks that hold that token go alone.
+
+    Nearly all chunks are letters, with or without punctuation after them. For those the
+    library's split is known (the letters, then the punctuation, each ending in a word-end
+    token), so their distinct lower-case words and punctuation runs are encoded instead, many
+    in one call, and told apart by the word-end tokens. Any other chunk goes to the library as
+    it is, held apart by a special token, which the library cuts out before anything else;
+    chunks that may hold that token go alone.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
@@ -30,40 +38,77 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
-        self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks, self.words = WordCache(), WordCache()
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain = [c for c in chunks if b"<|" not in c]
-        odd = [c for c in chunks if b"<|" in c]
-        if self.separator is None:
-            plain, odd = [], chunks
+    def _call(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, ids: np.ndarray, after: np.ndarray, skip: int) -> list[bytes]:
+        """Pieces of ``ids`` that end at the places ``after``, without ``skip`` ids there."""
+        raw, size = ids.tobytes(), ids.itemsize
+        ends = ((after + 1) * size).tolist()
+        return [raw[a : b - skip * size] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn_words(self, words: list[str]) -> list[bytes]:
+        """Lower-case words and punctuation runs, each one split of the library's."""
+        out: list[bytes] = []
+        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for group, ids in zip(groups, self._call([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(group):  # not as supposed: one by one
+                out += [x.tobytes() for x in self._call(group)]
+            else:
+                out += self._cut(ids, ends, 0)
+        return out
+
+    def _learn_odd(self, chunks: list[str]) -> list[bytes]:
+        plain = [c for c in chunks if "<|" not in c] if self.separator is not None else []
+        found: dict[str, bytes] = {}
         groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        texts = [_SEPARATOR.join([c.decode() for c in g]) for g in groups]
-        for group, enc in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(enc.ids, dtype=self.dtype)
-            cuts = np.flatnonzero(ids == self.separator)
-            raw, size = ids.tobytes(), ids.itemsize
-            starts = [0, *((cuts + 1) * size).tolist()]
-            ends = [*(cuts * size).tolist(), len(raw)]
-            self.cache.update(zip(group, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
-        for chunk in odd:
-            ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-            self.cache[chunk] = np.array(ids, dtype=self.dtype).tobytes()
+        for group, ids in zip(groups, self._call([_SEPARATOR.join(g) + _SEPARATOR for g in groups]), strict=True):
+            found.update(zip(group, self._cut(ids, np.flatnonzero(ids == self.separator), 1), strict=True))
+        alone = [c for c in chunks if c not in found]
+        found.update(zip(alone, (x.tobytes() for x in self._call(alone)), strict=True))
+        return [found[c] for c in chunks]
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        parts: list[tuple[str, ...] | None] = []
+        words: set[str] = set()
+        odd: list[str] = []
+        for raw in chunks:
+            chunk = raw.decode()
+            match = _SIMPLE(chunk)
+            if match:
+                word, mark = match.groups()
+                if chunk.isascii():
+                    own = (word.lower(), mark) if mark else (word.lower(),)
+                else:
+                    low = word.lower()
+                    if "Σ" in word or not low.isalpha() or not unicodedata.is_normalized("NFC", chunk):
+                        match = None
+                    own = (low, mark) if mark else (low,)
+            if match:
+                parts.append(own)
+                words.update(own)
+            else:
+                parts.append(None)
+                odd.append(chunk)
+        table = self.words.table(words, self._learn_words)
+        rest = iter(self._learn_odd(odd) if odd else [])
+        return [next(rest) if own is None else table[own[0]] if len(own) == 1 else table[own[0]] + table[own[1]] for own in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes; null counts as empty."""
+        claim(self.chunks, self.words)
         split = [t.encode().split() if t else [] for t in texts]
-        unseen = {w for words in split for w in words if w not in self.cache}
-        if unseen:
-            if len(self.cache) + len(unseen) > CACHE_WORDS:
-                self.cache.clear()
-                unseen = {w for words in split for w in words}
-            self._learn(list(unseen))
-        get = self.cache.__getitem__
+        get = self.chunks.table(set().union(*split), self._learn).__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 

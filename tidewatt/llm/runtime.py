@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Text given to a kernel at once; a longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Words of a generation of a worker's cache (about 200 bytes each).
+CACHE_WORDS = 200_000
 
 _own: dict[str, str] = {}
 
@@ -105,3 +107,47 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], Sequence]], fie
 
     picked = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text)).alias(free_name("text_in", keep)))
     return picked.mapInArrow(run, schema)
+
+
+class WordCache:
+    """What a worker has learnt about words: the last ``limit`` to twice as many that it met.
+
+    Two generations: a word that is met again moves to the young one; when that is full, it
+    becomes the old one, and what was old goes. So common words stay, and memory is bounded.
+    """
+
+    def __init__(self, limit: int = CACHE_WORDS):
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+    def table(self, words: set, learn: Callable[[list], list]) -> dict:
+        """Values of all ``words``; ``learn`` gives those of a list that are not known."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        unseen = []
+        for word in words.difference(young):
+            value = old.get(word)
+            if value is None:
+                unseen.append(word)
+            else:
+                young[word] = value
+        if unseen:
+            young.update(zip(unseen, learn(unseen), strict=True))
+        return young
+
+
+_in_use: list[WordCache] = []
+
+
+def claim(*caches: WordCache) -> None:
+    """Make these the only caches that hold anything: a worker serves one kernel at a time, and
+    later stages find its memory free."""
+    if not _in_use or _in_use[0] is not caches[0]:
+        for cache in _in_use:
+            cache.clear()
+        _in_use[:] = caches
