@@ -28,9 +28,6 @@ from pyspark.sql import DataFrame, types as T
 
 from tidewatt.llm import runtime
 
-#: Pre-tokens kept per Python worker; when full the cache starts again.
-CACHE_PIECES = 600_000
-
 
 class RankQueue:
     """Buckets of positions per rank under a bitmap of three levels (64 x 64 x 64 ranks)."""
@@ -93,7 +90,7 @@ class ByteBpe:
         for part in (self.keys >> 18, self.keys & (1 << 18) - 1):
             one_by_one[part[self.made < part]] = True
         self.one_by_one = one_by_one
-        self.cache: dict[str, bytes] = {}
+        self.cache = runtime.WordCache()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the pairs of tokens; -1 where they don't merge."""
@@ -163,18 +160,14 @@ class ByteBpe:
         counts = np.bincount(owner[alive], minlength=len(pieces))
         return np.split(token[alive], np.cumsum(counts)[:-1])
 
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        return [ids.astype("<u4").tobytes() for ids in self.merge([p.encode() for p in pieces])]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) if t else [] for t in texts]
-        cache = self.cache
-        unseen = {p for pieces in split for p in pieces if p not in cache}
-        if unseen:
-            if len(cache) + len(unseen) > CACHE_PIECES:
-                cache.clear()
-                unseen = {p for pieces in split for p in pieces}
-            words = list(unseen)
-            cache.update(zip(words, [ids.astype("<u4").tobytes() for ids in self.merge([w.encode() for w in words])], strict=True))
-        get = cache.__getitem__
+        runtime.claim(self.cache)
+        get = self.cache.table(set().union(*split), self._learn).__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
     def decode(self, ids: Iterable[int]) -> bytes:

@@ -24,7 +24,6 @@ from tidewatt.llm import runtime
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEATED = 30
-CACHE_WORDS = 600_000
 
 
 class Band(NamedTuple):
@@ -65,21 +64,20 @@ class Fertility:
         size = self.model.get_piece_size()
         self.is_byte = np.fromiter((self.model.is_byte(k) for k in range(size)), bool, size)
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = runtime.WordCache()
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(x, self.dtype).tobytes() for x in self.model.encode([w.decode() for w in words], num_threads=1)]
 
     def learn(self, split: list[list[bytes]]) -> None:
-        unseen = {w for words in split for w in words if w not in self.cache}
-        if len(self.cache) + len(unseen) > CACHE_WORDS:
-            self.cache.clear()
-            unseen = {w for words in split for w in words}
-        if unseen:
-            words = list(unseen)
-            ids = self.model.encode([w.decode() for w in words], num_threads=1)
-            self.cache.update(zip(words, [np.array(x, self.dtype).tobytes() for x in ids], strict=True))
+        """Look up all words of some texts; ``measures`` then knows them."""
+        runtime.claim(self.cache)
+        self.known = self.cache.table(set().union(*split), self._learn)
 
     def measures(self, words: list[bytes], chars: int) -> tuple[float, float, float, int]:
         """Characters per token, share of byte tokens, entropy in bits, tokens."""
-        ids = np.frombuffer(b"".join(map(self.cache.__getitem__, words)), self.dtype)
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.dtype)
         if not len(ids):
             return 0.0, 0.0, 0.0, 0
         _, counts = np.unique(ids, return_counts=True)
