@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidewatt.llm import runtime
 
-PER_LANGUAGE = 400
+PER_LANGUAGE = 300
 MAX_LANGUAGES = 64
-DIMENSIONS = 4096
+DIMENSIONS = 2048
 UNDETERMINED = "und"
 _BLOCK = 1 << 20
 
@@ -53,14 +53,14 @@ def features(text: str) -> np.ndarray:
     for at in range(0, len(raw), _BLOCK):
         b = np.frombuffer(raw, np.uint8, min(len(raw) - at, _BLOCK + 2), at).astype(np.uint32)
         one = b * np.uint32(0x9E3779B1)
-        counts += np.bincount(one[:_BLOCK] >> np.uint32(20), minlength=DIMENSIONS)
+        counts += np.bincount(one[:_BLOCK] >> np.uint32(21), minlength=DIMENSIONS)
         if len(b) > 1:
             two = one[:-1] ^ (b[1:] * np.uint32(0x85EBCA77) + np.uint32(1))
             two = two * np.uint32(0xC2B2AE3D)
-            counts += np.bincount(two[:_BLOCK] >> np.uint32(20), minlength=DIMENSIONS)
+            counts += np.bincount(two[:_BLOCK] >> np.uint32(21), minlength=DIMENSIONS)
             if len(b) > 2:
                 three = (two[:-1] ^ (b[2:] * np.uint32(0x27D4EB2F) + np.uint32(7))) * np.uint32(0x165667B1)
-                counts += np.bincount(three[:_BLOCK] >> np.uint32(20), minlength=DIMENSIONS)
+                counts += np.bincount(three[:_BLOCK] >> np.uint32(21), minlength=DIMENSIONS)
     root = np.sqrt(counts)
     return root / max(np.linalg.norm(root), 1e-12)
 
