@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatt.llm import language, packing, quality, runtime, secret_scan, simhash
 from tidewatt.llm.queries import PIECES, SECRET_RANKS, WORD_VOCABULARY
 
-#: Shingles of the near-duplicate stage, in words, and the bits that near copies may differ in.
-SHINGLE, MAX_DIFF = 5, 4
+#: The near-duplicate stage: words of a shingle; bits of the first fingerprint up to which copies
+#: are found for certain; bits of both (of 128) up to which they count: at least 0.8 agree.
+SHINGLE, MAX_DIFF, REACH = 5, 7, 25
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group stays, a repeated row once; rows of null doc_id stay."""
-    found = simhash.near_duplicates(docs, max_diff=MAX_DIFF, shingle=SHINGLE)
+    found = simhash.near_duplicates(docs, max_diff=MAX_DIFF, shingle=SHINGLE, reach=REACH)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*[F.col(runtime.quoted(c)) for c in docs.columns])

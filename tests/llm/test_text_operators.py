@@ -350,16 +350,40 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(frame.where("false")).collect() == []
 
 
+def index_keys(fp, max_diff):
+    """Every block of the fingerprint with every sub-block of the other bits."""
+    out = set()
+    for k, (high, width) in enumerate(simhash._cuts(64, max_diff + 1)):
+        bits = f"{fp:064b}"
+        turned = bits[64 - high :] + bits[: 64 - high]
+        for j, (top, sub) in enumerate(simhash._cuts(64 - width, max_diff + 1)):
+            out.add((k, j, turned[:width], turned[64 - top : 64 - top + sub]))
+    return out
+
+
+def test_edited_copies_are_found(spark):
+    """Copies of a long text with one word in fifty changed are one group, other texts are not."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(2, 9)))
+    base = [word() for _ in range(600)]
+    rows = [(k, " ".join(w if rng.random() > 0.02 or not k else word() for w in base)) for k in range(40)]
+    rows += [(100 + k, " ".join(word() for _ in range(300))) for k in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 7, 5, 25).collect()}
+    assert sum(got[k] == 0 for k in range(40)) >= 36
+    assert all(got[k] == k for k in range(100, 160))
+
+
 def test_pipeline_matches_its_parts(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r["doc_id"] for r in quality.judge(docs, P.path("piece_bpe_32k.model")).collect() if r["kept"]}
     rows = [r.asDict() for r in docs.collect() if r["doc_id"] in kept]
-    prints = [simhash.fingerprint(r["text"], 5) & (1 << 64) - 1 for r in rows]
+    prints = [tuple(x & (1 << 64) - 1 for x in simhash.two_fingerprints(r["text"], 5)) for r in rows]
+    keys = [index_keys(p[0], corpus_pipeline.MAX_DIFF) for p in prints]
     rows_by_id = sorted(range(len(rows)), key=lambda k: rows[k]["doc_id"])
     place = {k: i for i, k in enumerate(rows_by_id)}
-    near = [(place[a], place[b]) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    near = [(place[a], place[b]) for a in range(len(rows)) for b in range(a) if keys[a] & keys[b] and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= corpus_pipeline.REACH]
     root = components(len(rows), near)
     want = {rows[rows_by_id[i]]["doc_id"] for i in range(len(rows)) if root[i] == i}
     out = corpus_pipeline.run(spark, SF).collect()

@@ -41,33 +41,55 @@ BLOCK = 2048
 _PAIRS = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text, as a signed integer."""
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed 64-bit)."""
-    return runtime.map_texts(docs, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], [T.StructField("fp", T.LongType())])
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text, as a signed integer."""
+    hashes = _hashes(text, shingle)
+    return _majority(hashes) if len(hashes) else 0
+
+
+def two_fingerprints(text: str | None, shingle: int = SHINGLE) -> tuple[int, int]:
+    """The fingerprint, and a second one over the same shingles with other, independent bits."""
+    hashes = _hashes(text, shingle)
+    if not len(hashes):
+        return 0, 0
+    other = hashes * np.uint64(0x9E3779B97F4A7C15)
+    other ^= other >> np.uint64(32)
+    other *= np.uint64(0xD6E8FEB86659FD93)
+    other ^= other >> np.uint64(32)
+    return _majority(hashes), _majority(other)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, second: bool = False) -> DataFrame:
+    """doc_id, fp (signed 64-bit), and with ``second`` the second fingerprint as ``check``."""
+    fields = [T.StructField("fp", T.LongType())]
+    if not second:
+        return runtime.map_texts(docs, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], fields)
+    return runtime.map_texts(docs, lambda: lambda texts: list(zip(*(two_fingerprints(t, shingle) for t in texts), strict=True)), [*fields, T.StructField("check", T.LongType())])
 
 
 def _field(x: Column, high: int, width: int) -> Column:
@@ -156,10 +178,31 @@ class GrayIndex:
             yield q[hit], node[hit]
 
 
-def _stars(fps: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
+class _Rule:
+    """Which pairs link: ``max_diff`` bits of the fingerprint, or ``reach`` bits of both."""
+
+    def __init__(self, max_diff: int, reach: int | None):
+        self.reach, self.radius = reach, max_diff if reach is None else reach
+
+    def near(self, a: np.ndarray, b: np.ndarray, more_a: np.ndarray | None, more_b: np.ndarray | None) -> np.ndarray:
+        apart = np.bitwise_count(a ^ b).astype(np.int64)
+        if self.reach is not None:
+            apart += np.bitwise_count(more_a ^ more_b)
+        return apart <= self.radius
+
+    def pairs(self, index: GrayIndex, more: np.ndarray | None, queries: np.ndarray, more_queries: np.ndarray | None):
+        """(query numbers, row numbers) of linked pairs."""
+        for q, node in index.search(queries, self.radius):
+            if self.reach is not None:
+                keep = self.near(queries[q], index.fps[node], more_queries[q], more[node])
+                q, node = q[keep], node[keep]
+            yield q, node
+
+
+def _stars(fps: np.ndarray, more: np.ndarray | None, rule: _Rule) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (member, smallest of its component) within one key's rows, in Gray order."""
     label = np.arange(len(fps))
-    for q, node in GrayIndex(fps).search(fps, max_diff):
+    for q, node in rule.pairs(GrayIndex(fps), more, fps, more):
         apart = label[q] != label[node]
         if apart.any():
             label = local_stars(np.concatenate([label[q[apart]], np.arange(len(fps))]), np.concatenate([label[node[apart]], label]), len(fps))
@@ -174,10 +217,10 @@ def _edges(label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], low[moved]
 
 
-_LINKS = "u long, v long, key long, block int, part int, common binary, shared binary, fps binary"
+_LINKS = "u long, v long, key long, block int, part int, common binary, shared binary, fps binary, checks binary"
 
 
-def _search_partition(max_diff: int):
+def _search_partition(rule: _Rule):
     """Over rows (key, fp) sorted by key and Gray rank: edges, and blocks of keys at either end."""
 
     def run(batches):
@@ -191,6 +234,7 @@ def _search_partition(max_diff: int):
         del rows
         key, member = (table.column(c).to_numpy() for c in ("key", "fp"))
         fp = member.view(np.uint64)
+        more = None if rule.reach is None else table.column("check").to_numpy().view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(starts[1:], len(key))
         sizes = ends - starts
@@ -198,7 +242,7 @@ def _search_partition(max_diff: int):
         a, b = [], []
         for shift in range(1, FANOUT):
             same = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
-            near = same[np.bitwise_count(fp[same] ^ fp[same + shift]) <= max_diff]
+            near = same[rule.near(fp[same], fp[same + shift], None if more is None else more[same], None if more is None else more[same + shift])]
             if len(same) == 0:
                 break
             a.append(near)
@@ -209,13 +253,13 @@ def _search_partition(max_diff: int):
             us.append(u)
             vs.append(v)
         for s, e in zip(starts[sizes > FANOUT].tolist(), ends[sizes > FANOUT].tolist(), strict=True):
-            u, v = _stars(fp[s:e], max_diff)
+            u, v = _stars(fp[s:e], None if more is None else more[s:e], rule)
             us.append(u)
             vs.append(v)
         u = np.concatenate(us) if us else np.zeros(0, np.int64)
         v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
         names = [x.split()[0] for x in _LINKS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for at in range(0, len(u), 1 << 16):
             m = min(1 << 16, len(u) - at)
             yield pa.RecordBatch.from_arrays([pa.array(u[at : at + m]), pa.array(v[at : at + m]), *[pa.nulls(m, t) for t in types[2:]]], names=names)
@@ -224,13 +268,13 @@ def _search_partition(max_diff: int):
             for n, at in enumerate(range(s, e, BLOCK)):
                 f = fp[at : min(e, at + BLOCK)]
                 shared, common = _common(f, np.zeros(1, np.int64))
-                row = [None, None, int(key[s]), n, part, common.tobytes(), shared.tobytes(), f.tobytes()]
+                row = [None, None, int(key[s]), n, part, common.tobytes(), shared.tobytes(), f.tobytes(), None if more is None else more[at : min(e, at + BLOCK)].tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
     return run
 
 
-def _search_blocks(max_diff: int):
+def _search_blocks(rule: _Rule):
     """Over pairs of blocks of one key from different tasks: the stars of their union."""
 
     def run(batches):
@@ -240,10 +284,11 @@ def _search_blocks(max_diff: int):
                 ids = np.concatenate([left, right]).view(np.int64)
                 shared = (np.frombuffer(row["shared"], np.uint64) & np.frombuffer(row["other_shared"], np.uint64))[0]
                 apart = (np.frombuffer(row["common"], np.uint64) ^ np.frombuffer(row["other_common"], np.uint64))[0]
-                if np.bitwise_count(apart & shared) > max_diff:
+                if np.bitwise_count(apart & shared) > rule.radius:
                     continue
+                more = [None if rule.reach is None else np.frombuffer(row[x], np.uint64) for x in ("checks", "other_checks")]
                 label = np.arange(len(ids))
-                for q, node in GrayIndex(left).search(right, max_diff):
+                for q, node in rule.pairs(GrayIndex(left), more[0], right, more[1]):
                     a, b = label[q + len(left)], label[node]
                     live = a != b
                     if live.any():
@@ -254,29 +299,39 @@ def _search_blocks(max_diff: int):
     return run
 
 
-def near_links(classes: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """``classes(fp)``, each fingerprint once, to edges (u, v) of fingerprints that connect all
-    those at ``max_diff`` or fewer differing bits."""
+def near_links(classes: DataFrame, max_diff: int = MAX_DIFF, reach: int | None = None) -> DataFrame:
+    """``classes(fp[, check])``, each fingerprint once, to edges (u, v) of fingerprints that
+    connect all those at ``max_diff`` or fewer differing bits.
+
+    With ``reach``, the rule is that many bits of fingerprint and check together. Pairs that
+    differ in more than ``max_diff`` bits of the fingerprint are then found if they share a key.
+    """
     spark = classes.sparkSession
-    if max_diff < 0:
-        raise ValueError("max_diff is negative")
-    keyed = classes.select(F.explode(index_keys(F.col("fp"), max_diff)).alias("key"), gray_rank(F.col("fp")).alias("gray"), "fp")
+    if max_diff < 0 or reach is not None and reach < max_diff:
+        raise ValueError("max_diff is negative, or reach is below it")
+    rule = _Rule(max_diff, reach)
+    own = ["fp"] if reach is None else ["fp", "check"]
+    keyed = classes.select(F.explode(index_keys(F.col("fp"), max_diff)).alias("key"), gray_rank(F.col("fp")).alias("gray"), *own)
     ordered = keyed.repartitionByRange(runtime.shuffle_partitions(spark), "key", "gray").sortWithinPartitions("key", "gray")
-    found, _ = runtime.materialize(ordered.drop("gray").mapInArrow(_search_partition(max_diff), _LINKS), "links")
+    found, _ = runtime.materialize(ordered.drop("gray").mapInArrow(_search_partition(rule), _LINKS), "links")
     inside = found.where("u is not null").select("u", "v")
     blocks = found.where("u is null").drop("u", "v")
     many = blocks.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
     blocks = blocks.join(many, "key")
-    other = blocks.select("key", *[F.col(c).alias(f"other_{c}") for c in ("part", "common", "shared", "fps")])
+    other = blocks.select("key", *[F.col(c).alias(f"other_{c}") for c in ("part", "common", "shared", "fps", "checks")])
     pairs = blocks.join(other, "key").where("part < other_part").drop("key", "block", "part", "other_part")
-    return inside.unionByName(pairs.mapInArrow(_search_blocks(max_diff), "u long, v long"))
+    return inside.unionByName(pairs.mapInArrow(_search_blocks(rule), "u long, v long"))
+
 
+def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, shingle: int = SHINGLE, reach: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
-def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id."""
-    prints, _ = runtime.materialize(fingerprints(docs, shingle), "fingerprints")
-    classes, _ = runtime.materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    parts = connected_components(near_links(classes.select("fp"), max_diff)).withColumnRenamed("node", "fp")
+    ``reach`` widens the rule to copies with more edits: see ``near_links``.
+    """
+    prints, _ = runtime.materialize(fingerprints(docs, shingle, reach is not None), "fingerprints")
+    more = [] if reach is None else [F.min_by("check", "doc_id").alias("check")]
+    classes, _ = runtime.materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), *more), "classes")
+    parts = connected_components(near_links(classes.drop("first"), max_diff, reach)).withColumnRenamed("node", "fp")
     rooted = classes.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
