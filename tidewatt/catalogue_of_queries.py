@@ -2,7 +2,8 @@
 
 Events stand for points (``sources.points.events_as_points``); customers, nations and regions
 for a tree of entities; orders for series of customers, for plans and for receipts. Sums and
-means are rounded on both sides, since the order of additions is not fixed.
+means are rounded on both sides, since the order of additions is not fixed; means to eight digits, as ratios
+of short decimals are often halves of the last of four.
 """
 
 from __future__ import annotations
@@ -110,13 +111,13 @@ def plan_vs_actual(spark: SparkSession, d: str) -> DataFrame:
 
 def _gauge_columns() -> list:
     return ["series_id", "count", _r("sum").alias("sum"), "min", "max", "first_ts", "first_value", "last_ts", "last_value", _r(value_hours(F.col("integral")), 3).alias("energy"), "covered",
-            _r(F.when(F.col("covered") > 0, F.col("integral") / F.col("covered"))).alias("time_weighted_mean"), _r(F.col("sum") / F.col("count")).alias("sample_mean")]
+            _r(F.when(F.col("covered") > 0, F.col("integral") / F.col("covered")), 8).alias("time_weighted_mean"), _r(F.col("sum") / F.col("count"), 8).alias("sample_mean")]
 
 
 _GAUGE_SQL = f"""WITH {NEXT_SQL}, h AS (SELECT *, CASE WHEN t1 - valid_time <= {GAP} THEN t1 - valid_time ELSE 0 END AS dur FROM n)
 SELECT series_id, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, min(valid_time) AS first_ts, arg_min(value, valid_time) AS first_value,
   max(valid_time) AS last_ts, arg_max(value, valid_time) AS last_value, round(sum(value * dur) / 3.6e9, 3) AS energy, CAST(sum(dur) AS BIGINT) AS covered,
-  round(CASE WHEN sum(dur) > 0 THEN sum(value * dur) / sum(dur) END, 4) AS time_weighted_mean, round(sum(value) / count(*), 4) AS sample_mean FROM h GROUP BY 1"""
+  round(CASE WHEN sum(dur) > 0 THEN sum(value * dur) / sum(dur) END, 8) AS time_weighted_mean, round(sum(value) / count(*), 8) AS sample_mean FROM h GROUP BY 1"""
 register("gauge_aggregate", _GAUGE_SQL)(lambda spark, d: A.gauge(A.gauge_winners(events_as_points(spark, d), GAP), GAP).select(*_gauge_columns()))
 register("gauge_merge", _GAUGE_SQL)(lambda spark, d: A.merge_gauges(A.gauge_states(_winners(spark, d), GAP), GAP).select(*_gauge_columns()))
 
@@ -388,16 +389,16 @@ _READINGS_SQL = "r AS (SELECT user_id AS vehicle, event_type AS fleet, epoch_us(
 _SLOTS_SQL = _READINGS_SQL + f", a AS (SELECT vehicle, fleet, ts - ts % {HOUR} AS slot, sum(value) / count(value) AS mean FROM r GROUP BY 1, 2, 3 HAVING sum(value) / count(value) > 30)"
 register("fleet_last_reading", f"WITH {_READINGS_SQL} SELECT vehicle, fleet, max(ts) AS ts, arg_max(value, row(ts, seq)) AS value FROM r GROUP BY 1, 2")(lambda spark, d: fleet.last_reading(_readings(spark, d)))
 register("fleet_low_level", f"WITH {_READINGS_SQL}, l AS (SELECT vehicle, fleet, max(ts) AS ts, arg_max(value, row(ts, seq)) AS value FROM r GROUP BY 1, 2) SELECT * FROM l WHERE value < 20")(lambda spark, d: fleet.below(_readings(spark, d), 20))
-register("fleet_stationary", f"WITH {_READINGS_SQL} SELECT vehicle, fleet, round(sum(value) / count(value), 4) AS mean FROM r WHERE ts >= {T0} AND ts < {T0 + 10 * DAY} GROUP BY 1, 2 HAVING sum(value) / count(value) < 40")(
-    lambda spark, d: fleet.stationary(_readings(spark, d), T0, T0 + 10 * DAY, 40).withColumn("mean", _r("mean")))
+register("fleet_stationary", f"WITH {_READINGS_SQL} SELECT vehicle, fleet, round(sum(value) / count(value), 8) AS mean FROM r WHERE ts >= {T0} AND ts < {T0 + 10 * DAY} GROUP BY 1, 2 HAVING sum(value) / count(value) < 40")(
+    lambda spark, d: fleet.stationary(_readings(spark, d), T0, T0 + 10 * DAY, 40).withColumn("mean", _r("mean", 8)))
 register("fleet_long_sessions", f"WITH {_SLOTS_SQL.replace('FROM r GROUP', f'FROM r WHERE ts >= {T0} AND ts < {T0 + 20 * DAY} GROUP')} SELECT vehicle, fleet, count(*) AS slots FROM a GROUP BY 1, 2 HAVING count(*) > 3")(
     lambda spark, d: fleet.long_sessions(_readings(spark, d), T0, T0 + 20 * DAY, HOUR, 30, 3))
 register("fleet_daily_activity", f"WITH {_SLOTS_SQL} SELECT fleet, slot - slot % {DAY} AS day, count(*) AS slots FROM a GROUP BY 1, 2")(lambda spark, d: fleet.daily_activity(_readings(spark, d), HOUR, 30))
-register("fleet_daily_duration", f"WITH {_SLOTS_SQL}, x AS (SELECT vehicle, fleet, slot - slot % {DAY} AS day, count(*) AS slots FROM a GROUP BY 1, 2, 3) SELECT vehicle, fleet, round(sum(slots) / count(*), 4) AS mean_slots FROM x GROUP BY 1, 2")(
-    lambda spark, d: fleet.mean_daily_duration(_readings(spark, d), HOUR, 30).withColumn("mean_slots", _r("mean_slots")))
+register("fleet_daily_duration", f"WITH {_SLOTS_SQL}, x AS (SELECT vehicle, fleet, slot - slot % {DAY} AS day, count(*) AS slots FROM a GROUP BY 1, 2, 3) SELECT vehicle, fleet, round(sum(slots) / count(*), 8) AS mean_slots FROM x GROUP BY 1, 2")(
+    lambda spark, d: fleet.mean_daily_duration(_readings(spark, d), HOUR, 30).withColumn("mean_slots", _r("mean_slots", 8)))
 register("fleet_breakdowns", f"WITH {_READINGS_SQL}, x AS (SELECT *, lag(value) OVER (PARTITION BY vehicle, ts - ts % {DAY} ORDER BY ts, seq) AS b FROM r) SELECT fleet, CAST(count(*) FILTER (b >= 50 AND value < 50) AS BIGINT) AS breakdowns FROM x GROUP BY 1")(
     lambda spark, d: fleet.breakdowns(_readings(spark, d), 50))
-register("fleet_mean", f"WITH {_READINGS_SQL} SELECT fleet, ts - ts % {DAY} AS day, round(sum(value) / count(value), 4) AS mean FROM r GROUP BY 1, 2")(lambda spark, d: fleet.mean_by_fleet(_readings(spark, d)).withColumn("mean", _r("mean")))
+register("fleet_mean", f"WITH {_READINGS_SQL} SELECT fleet, ts - ts % {DAY} AS day, round(sum(value) / count(value), 8) AS mean FROM r GROUP BY 1, 2")(lambda spark, d: fleet.mean_by_fleet(_readings(spark, d)).withColumn("mean", _r("mean", 8)))
 
 
 # --- the store ---
