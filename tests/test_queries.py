@@ -43,3 +43,17 @@ def test_plans_push_filters_down_and_shuffle_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     read = core.QUERIES["parquet_probe_key"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in read and "l_quantity:double,l_returnflag:string>" in read
+
+
+def test_stream_ingest_takes_all_events(spark, monkeypatch):
+    from tidewatt.errors import TidewattError
+    from tidewatt.sources import wire
+    from tidewatt.sources.points import events_as_points
+
+    columns = ["series_id", "valid_time", "knowledge_time", "change_time", "run_id", "value"]
+    want = events_as_points(spark, SF).select(*columns).collect()
+    monkeypatch.setattr(core, "FRAME_POINTS", -(-len(want) // 3))
+    assert sorted(core.ingest_events(spark, SF).select(*columns).collect()) == sorted(want)
+    monkeypatch.setattr(wire, "MAX_POINTS", len(want) // 4)
+    with pytest.raises(TidewattError):
+        core.ingest_events(spark, SF)

@@ -15,10 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatt import schemas as S
+from tidewatt.errors import TidewattError
 from tidewatt.functions import floor_to, value_hours
 from tidewatt.operators import aggregates as A, catalog as C, fleet, reconcile, revisions as R, rollup as U
 from tidewatt.plans import coverage
 from tidewatt.schemas import DAY, HOUR, MICROS, Resolution
+from tidewatt.sources import wire
 from tidewatt.sources.points import events_as_points, parquet_probe
 from tidewatt.store import EngineStore, Transaction
 
@@ -442,19 +444,39 @@ def store_materialized_gauge(spark: SparkSession, d: str) -> DataFrame:
         return U.fixed_range(store.buckets(), T0 + DAY, T0 + 10 * DAY).select(*_bucket_columns())
 
 
-@register("stream_ingest", f"WITH {POINTS_SQL} SELECT series_id, valid_time, knowledge_time, change_time, run_id, value FROM points WHERE append_seq % 10 = 0")
-def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """A tenth of the events as three frames a source, streamed in; the first frame comes twice."""
-    from tidewatt.sources import wire
+#: Points of a frame: as many as the frame's bounds hold, at 320 bytes of escaped JSON a point at most.
+FRAME_POINTS = min(wire.MAX_POINTS, wire.MAX_FRAME_BYTES // 320)
+
+
+def ingest_events(spark: SparkSession, d: str) -> DataFrame:
+    """All events streamed in as frames of one source, the first frame twice; the points that the store then
+    holds. Their flags are the last digit of the event's number. A refused frame is an error."""
     from tidewatt.streaming.ingest import start_ingest
 
     folder = _folder(spark, "stream")
-    own = events_as_points(spark, d).where("append_seq % 10 = 0")
-    part = F.pmod(F.col("append_seq") / 10, F.lit(3)).cast("long")
-    bodies = own.withColumn("part", part).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("append_seq", *S.POINT_IDENTITY))).alias("p")).select(
-        F.lit(S.hex_id(9)).alias("source_id"), (F.col("part") + 1).alias("sequence"), F.lpad(F.hex(F.col("part") + 1), 32, "a").alias("commit_id"), F.transform("p", lambda x: x.dropFields("append_seq")).alias("points"))
-    bodies.unionByName(bodies.where("sequence = 1")).coalesce(1).write.json(f"{folder}/in")
+    own = events_as_points(spark, d).withColumn("flags", F.pmod("append_seq", F.lit(10)))
+    span = F.floor(F.col("append_seq") / FRAME_POINTS).cast("long").alias("span")
+    held = own.groupBy(span).agg(F.array_sort(F.collect_list(F.struct("append_seq", *S.POINT_IDENTITY))).alias("p"))
+    cuts = held.select("span", "p", F.explode(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / FRAME_POINTS).cast("int"))).alias("cut"))  # more than one if numbers repeat
+    number = (F.shiftleft(F.col("span"), 20) + F.col("cut") + 1).alias("sequence")
+    bodies = cuts.select(F.lit(S.hex_id(9)).alias("source_id"), number, F.lpad(F.hex(number), 32, "a").alias("commit_id"),
+                         F.transform(F.slice("p", F.col("cut") * FRAME_POINTS + 1, FRAME_POINTS), lambda x: x.dropFields("append_seq")).alias("points"))
+    bodies.write.json(f"{folder}/in")
+    sent = wire.read_batches(spark, f"{folder}/in")
+    first = sent.agg(F.min("sequence")).first()[0]
+    sent.where(F.col("sequence") == first).write.mode("append").json(f"{folder}/in")
+    outcomes: list[dict] = []
     with EngineStore.open(spark, f"{folder}/store") as store:
         _define(store)
-        start_ingest(store, wire.read_batches(spark, f"{folder}/in", stream=True), f"{folder}/checkpoint").awaitTermination()
-        return store.points().select("series_id", "valid_time", "knowledge_time", "change_time", "run_id", "value")
+        stream = wire.read_batches(spark, f"{folder}/in", stream=True)
+        start_ingest(store, stream, f"{folder}/checkpoint", on_outcomes=lambda _, found: outcomes.extend(found)).awaitTermination()
+        refused = [o for o in outcomes if o["outcome"] not in ("accepted", "replayed")]
+        if refused:
+            raise TidewattError(f"{len(refused)} of {len(outcomes)} frames refused, first {refused[0]}")
+        return store.points()
+
+
+@register("stream_ingest", f"WITH {POINTS_SQL} SELECT series_id, valid_time, knowledge_time, change_time, run_id, value FROM points WHERE append_seq % 10 = 0")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """All events are streamed in; of the stored points, those that the SQL asks for."""
+    return ingest_events(spark, d).where("flags = 0").select("series_id", "valid_time", "knowledge_time", "change_time", "run_id", "value")
