@@ -390,3 +390,16 @@ def test_pipeline_matches_its_parts(spark):
     check_sequences(out)
     assert {r["doc_id"] for r in out} == want
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_wrapped_notices_are_found(spark):
+    """Templates cut into short lines, with and without comment signs, have the labels of the whole."""
+    own = [(label, text) for label, text in licenses.TEMPLATES if len(text.split()) > 15]
+    rows = []
+    for k, (_, text) in enumerate(own):
+        words = text.split()
+        for j, (width, sign) in enumerate(((11, ""), (6, "# "), (4, " * "))):
+            notice = "\n".join(sign + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+            rows.append((10 * k + j, "some code\n" * 7 + notice + "\nmore code" * 30))
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(own) == 4 and all(own[k // 10][0] in r["labels"].split(",") and r["score"] >= 0.8 for k, r in got.items())

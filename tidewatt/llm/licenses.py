@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or for long lines a window of it; a template meets a block if the block
+A block is a line, or a window of the words of the whole text (line breaks count as spaces, so
+that wrapped notices are found); windows overlap by half. A template meets a block if the block
 holds at least ``containment`` of the template's different words. The join is the prefix
 filter's: words in ascending order of their frequency in the whole table, so that a template
 can only meet a block that holds one of its few rarest words; a block with fewer different
@@ -90,9 +91,11 @@ class TemplateIndex:
         self.width = 2 * max((len(words) for _, words in templates), default=1)
 
     def blocks(self, raw: bytes):
-        """Word lists of the lines of a text; long lines in windows that overlap by half."""
+        """Word lists of the lines of a text, and of its whole word sequence; long ones in windows
+        that overlap by half."""
         half = self.width // 2
-        for line in raw.split(b"\n"):
+        lines = raw.split(b"\n")
+        for line in [*lines, raw] if len(lines) > 1 else lines:
             words = words_of(line)
             if len(words) <= self.width:
                 yield words
