@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 The test: a run of letters, digits and ``+/_=-`` that a public vocabulary can only cut into
-short tokens is random. Runs that hold no letter or no digit, known digests (hexadecimal of
-a digest's length), identifiers (UUIDs; names whose parts are words or numbers) are left out
-before it; so is what a fixed pattern has found.
+short tokens is random. Runs that hold no letter, known digests (hexadecimal of a digest's
+length), UUIDs, and names whose parts are words or numbers are left out before it; letters
+count as words only if the vocabulary encodes them well. What a fixed pattern has found is cut
+out of a run, and what is left on either side is tested as a run of its own.
 
 Cases: null text is empty (no spans); repeated rows are scanned alike; an empty table gives
 no rows; other columns are ignored by ``scan`` and kept by ``redact``.
@@ -55,11 +56,14 @@ def vocabulary(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(run: str) -> bool:
-    """A digest, a UUID, or an identifier made of words and numbers."""
+def known(run: str, encode, most: float = MAX_EFFICIENCY) -> bool:
+    """A digest, a UUID, or an identifier made of numbers and of words that ``encode`` cuts into long tokens."""
     if len(run) in DIGESTS and _HEX_ANY.fullmatch(run) or _UUID.fullmatch(run):
         return True
     parts = [p for p in re.split(r"[-_/=+]+", run) if p]
+    words = re.findall(r"[A-Za-z]+", run)
+    if sum(map(len, words)) < most * sum(len(encode(w)) for w in words):
+        return False
     return all(p.isalpha() or p.isdigit() for p in parts) or all(len(x) >= 4 or x.isdigit() for p in parts for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", p)) and all(_PART.match(p) for p in parts)
 
 
@@ -77,16 +81,28 @@ def random_spans(text: str, encode, taken: list[tuple[int, int, int]], most: flo
     """Runs outside ``taken`` that the vocabulary encodes badly."""
     out = []
     for m in _RUN.finditer(text):
-        run = m.group()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or known(run):
+        if known(m.group(), encode, most):
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if len(run) / len(encode(run)) < most:
-            out.append((m.start(), 3, m.end()))
+        for start, end in _outside(m.start(), m.end(), taken):
+            run = text[start:end]
+            if len(run) < MIN_RUN or not any(c.isalpha() for c in run) or known(run, encode, most):
+                continue
+            if len(run) / len(encode(run)) < most:
+                out.append((start, 3, end))
     return out
 
 
+def _outside(start: int, end: int, taken: list[tuple[int, int, int]]):
+    """The parts of start..end that no span of ``taken`` (sorted by start) covers."""
+    for a, _, b in taken:
+        if b > start and a < end:
+            if a > start:
+                yield start, a
+            start = max(start, b)
+    if start < end:
+        yield start, end
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
