@@ -221,3 +221,19 @@ def test_identifiers():
     with pytest.raises(ModelError):
         Resolution(unit="Day", tz="Nowhere/Land")
     assert Resolution(unit="Day", tz="Europe/Stockholm").key == "calendar/Day/Europe/Stockholm" and Resolution(micros=300).key == "fixed/300"
+
+
+def test_breakdowns_follow_a_vehicle_over_midnight(spark):
+    import random
+
+    from tidewatt.operators import fleet
+
+    rng = random.Random(3)
+    rows = [(v, rng.choice("ab"), rng.randrange(0, 40 * S.DAY), float(rng.randrange(100)), k) for k, v in enumerate(rng.choices(range(9), k=400))]
+    want = {"a": 0, "b": 0}
+    for v in range(9):
+        own = sorted((r for r in rows if r[0] == v), key=lambda r: (r[2], r[4]))
+        for x, y in zip(own, own[1:], strict=False):
+            want[y[1]] += x[3] >= 50 > y[3]
+    got = fleet.breakdowns(spark.createDataFrame(rows, "vehicle long, fleet string, ts long, value double, seq long"), 50).collect()
+    assert {r["fleet"]: r["breakdowns"] for r in got} == want

@@ -399,7 +399,7 @@ register("fleet_daily_activity", f"WITH {_SLOTS_SQL} SELECT fleet, slot - slot %
 register("fleet_daily_duration", f"WITH {_SLOTS_SQL}, x AS (SELECT vehicle, fleet, slot - slot % {DAY} AS day, count(*) AS slots FROM a GROUP BY 1, 2, 3) SELECT vehicle, fleet, round(sum(slots) / count(*), 8) AS mean_slots FROM x GROUP BY 1, 2")(
     lambda spark, d: fleet.mean_daily_duration(_readings(spark, d), HOUR, 30).withColumn("mean_slots", _r("mean_slots", 8)))
 register("fleet_breakdowns", f"WITH {_READINGS_SQL}, x AS (SELECT *, lag(value) OVER (PARTITION BY vehicle, ts - ts % {DAY} ORDER BY ts, seq) AS b FROM r) SELECT fleet, CAST(count(*) FILTER (b >= 50 AND value < 50) AS BIGINT) AS breakdowns FROM x GROUP BY 1")(
-    lambda spark, d: fleet.breakdowns(_readings(spark, d), 50))
+    lambda spark, d: fleet.breakdowns(_readings(spark, d), 50, within_day=True))  # as the SQL has it
 register("fleet_mean", f"WITH {_READINGS_SQL} SELECT fleet, ts - ts % {DAY} AS day, round(sum(value) / count(value), 8) AS mean FROM r GROUP BY 1, 2")(lambda spark, d: fleet.mean_by_fleet(_readings(spark, d)).withColumn("mean", _r("mean", 8)))
 
 
