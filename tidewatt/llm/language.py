@@ -1,8 +1,9 @@
 """Language ID by hierarchical discrimination: the family first, then the language within it.
 
 Both levels vote among one-versus-one linear support vector machines over hashed byte n-grams
-of the lower-case letters. They are trained on the driver from at most ``PER_LANGUAGE``
-labelled documents of each language, drawn by a hash of doc_id from the whole training part
+of the lower-case letters. They are trained on the driver on every language of the table, from
+at most ``PER_LANGUAGE`` labelled documents of each and about ``TOTAL`` in all (shared equally, one
+document a language at least), drawn by a hash of doc_id from the whole training part
 (feature counts are made on the executors); prediction reads every whole text.
 
 Cases: null text, and text without a letter, is ``und`` with score 0; a language without a
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tidewatt.llm import runtime
 
 PER_LANGUAGE = 300
-MAX_LANGUAGES = 64
+TOTAL = 19_200
 DIMENSIONS = 2048
 UNDETERMINED = "und"
 _BLOCK = 1 << 20
@@ -136,17 +137,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model | None:
     """Fit on a bounded sample of labelled, not held-out documents; None if there are none."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row a language
     if not counts:
         return None
+    per_language = max(1, min(per_language, total // len(counts)))
     buckets = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
-    rule = F.lit(0)
-    for r in counts:
-        rule = F.when(F.col("lang") == r["lang"], int(min(1.0, 1.3 * per_language / r["n"]) * buckets)).otherwise(rule)
+    drawn = max(1.3 * per_language, per_language + 30)  # so that no language is left without a row
+    shares = [F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, drawn / r["n"]) * buckets))]
+    rule = F.element_at(F.create_map(*shares), F.col("lang"))
 
     def run(batches):
         for batch in batches:
@@ -155,10 +157,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["lang", "draw", "features"])
 
     sample = usable.withColumn("draw", draw).where(F.col("draw") < rule).select("lang", "draw", "text").mapInArrow(run, "lang string, draw long, features binary").collect()
+    by_lang: dict[str, list] = {}
+    for s in sample:
+        by_lang.setdefault(s["lang"], []).append(s)
     taken: list = []
     for r in counts:
-        own = sorted((s for s in sample if s["lang"] == r["lang"]), key=lambda s: (s["draw"], s["features"]))
-        taken += own[:per_language]
+        taken += sorted(by_lang.get(r["lang"], []), key=lambda s: (s["draw"], s["features"]))[:per_language]
     if not taken:
         return None
     return Model(np.array([np.frombuffer(s["features"], "<f4") for s in taken], np.float64), [s["lang"] for s in taken])
