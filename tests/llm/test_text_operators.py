@@ -432,3 +432,15 @@ def test_every_language_is_trained(spark):
     truth = {r[0]: r[2] for r in rows}
     assert {r["lang_pred"] for r in got} == set(codes)
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.95 * len(got)
+
+
+def test_texts_of_no_learned_language_go(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["这是一个没有学过的语言的文本。" * 20, "Это текст на языке которого нет в обучении и он должен уйти " * 5, "これは日本語の文章です。" * 20, "zxq qzx wvk kkx zzq xxj qqk " * 20]
+    both = docs.unionByName(spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(odd)], docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, "").select("doc_id").collect()}
+    assert not any(k < 0 for k in kept)
+    clean = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert clean <= kept
