@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatt.llm import language, packing, quality, runtime, secret_scan, simhash
 from tidewatt.llm.queries import PIECES, SECRET_RANKS, WORD_VOCABULARY
 
-#: The near-duplicate stage: words of a shingle; bits of the first fingerprint up to which copies
-#: are found for certain; bits of both (of 128) up to which they count: at least 0.8 agree.
+#: The near-duplicate stage: words of a shingle; bits that its former key index was sure of (the exact
+#: search does not need them); bits of both fingerprints (of 128) up to which copies count: at least 0.8 agree.
 SHINGLE, MAX_DIFF, REACH = 5, 7, 25
 
 

@@ -444,3 +444,23 @@ def test_texts_of_no_learned_language_go(spark):
     assert not any(k < 0 for k in kept)
     clean = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
     assert clean <= kept
+
+
+def test_reach_is_exact(spark, monkeypatch):
+    """Links of both fingerprints against brute force, pairs that share no key and equal first fingerprints among them."""
+    monkeypatch.setattr(simhash, "TILE", 100)
+    rng = random.Random(9)
+    pairs = []
+    for k in range(120):
+        base = rng.getrandbits(128)
+        pairs += [base, base ^ sum(1 << b for b in rng.sample(range(128), rng.randint(20, 28)))]
+        if k % 10 == 0:
+            pairs += [base ^ (1 << 64) * rng.getrandbits(64)]  # the first fingerprint of base, another second one
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = [(k, signed(x & (1 << 64) - 1), signed(x >> 64)) for k, x in enumerate(pairs)]
+    near = [(a, b) for a in range(len(pairs)) for b in range(a) if (pairs[a] ^ pairs[b]).bit_count() <= 25]
+    keys = [index_keys(x & (1 << 64) - 1, 7) for x in pairs]
+    assert any(not keys[a] & keys[b] for a, b in near)
+    got = simhash._exact_duplicates(spark.createDataFrame(prints, "doc_id long, fp long, check long"), 25).collect()
+    want = components(len(pairs), near)
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))

@@ -323,17 +323,86 @@ def near_links(classes: DataFrame, max_diff: int = MAX_DIFF, reach: int | None =
     return inside.unionByName(pairs.mapInArrow(_search_blocks(rule), "u long, v long"))
 
 
+#: Classes of a tile of ``exact_links``; rows of it that are compared with another tile at a time.
+TILE, STRIP = 16_384, 32
+
+
+def _tiles(batches):
+    from pyspark import TaskContext
+
+    rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if rows:
+        table, part = pa.concat_tables(rows), TaskContext.get().partitionId()
+        node, fp, check = (table.column(c).to_numpy() for c in ("node", "fp", "check"))
+        for n, at in enumerate(range(0, len(node), TILE)):
+            row = [(part << 20) + n, *(x[at : at + TILE].tobytes() for x in (node, fp, check))]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["tile", "nodes", "fps", "checks"])
+
+
+def _compare_tiles(reach: int):
+    """Over pairs of tiles: the stars of all pairs at ``reach`` or fewer bits of both fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b, more_a, more_b = (np.frombuffer(row[x], np.uint64) for x in ("fps", "other_fps", "checks", "other_checks"))
+                ids = np.concatenate([np.frombuffer(row[x], np.int64) for x in ("nodes", "other_nodes")])
+                label, everyone = np.arange(len(ids)), np.arange(len(ids))
+                if row["tile"] == row["other_tile"]:
+                    label[len(a) :] = label[: len(a)]
+                for at in range(0, len(a), STRIP):
+                    apart = np.bitwise_count(a[at : at + STRIP, None] ^ b)
+                    apart += np.bitwise_count(more_a[at : at + STRIP, None] ^ more_b)
+                    hit = np.flatnonzero(apart.ravel() <= reach)
+                    u, v = label[hit // len(b) + at], label[hit % len(b) + len(a)]
+                    live = u != v
+                    if live.any():
+                        label = local_stars(np.concatenate([u[live], everyone]), np.concatenate([v[live], label]), len(ids))
+                u, v = _edges(label, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def exact_links(classes: DataFrame, reach: int) -> DataFrame:
+    """``classes(node, fp, check)`` to edges (u, v) of nodes that connect all those at ``reach`` or fewer
+    differing bits of both fingerprints together, exactly: every tile is compared with every other.
+
+    At a fifth of the bits no key is selective (within one half 12 bits may differ), so the work is
+    quadratic in the classes; memory is that of two tiles, and tiles are shuffled once.
+    """
+    n = classes.count()
+    dealt = classes.select("node", "fp", "check").repartition(max(1, -(-n // TILE)))
+    tiles, _ = runtime.materialize(dealt.mapInArrow(_tiles, "tile long, nodes binary, fps binary, checks binary"), "tiles")
+    parts = max(1, min(-(-n // TILE), runtime.shuffle_partitions(classes.sparkSession)))
+    left, other = tiles.repartition(parts), tiles.repartition(parts).select(*[F.col(c).alias(f"other_{c}") for c in tiles.columns])
+    pairs = left.hint("shuffle_replicate_nl").join(other, F.col("tile") <= F.col("other_tile"))
+    return pairs.mapInArrow(_compare_tiles(reach), "u long, v long")
+
+
+def _exact_duplicates(prints: DataFrame, reach: int) -> DataFrame:
+    """doc_id, fp, component_id of ``prints(doc_id, fp, check)``; a class is a pair of fingerprints."""
+    grouped = prints.where("doc_id is not null").groupBy("fp", "check").agg(F.min("doc_id").alias("first"))
+    classes, _ = runtime.materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    parts = connected_components(exact_links(classes, reach))
+    rooted = classes.join(parts, "node", "left").select("fp", "check", "first", F.coalesce("component", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(rooted.join(smallest, "root").select("fp", "check", "component_id"), ["fp", "check"], "left")
+
+
 def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, shingle: int = SHINGLE, reach: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id.
 
-    ``reach`` widens the rule to copies with more edits: see ``near_links``.
+    ``reach`` widens the rule to copies with more edits: see ``exact_links``; ``max_diff`` has no part in it.
     """
     prints, _ = runtime.materialize(fingerprints(docs, shingle, reach is not None), "fingerprints")
-    more = [] if reach is None else [F.min_by("check", "doc_id").alias("check")]
-    classes, _ = runtime.materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), *more), "classes")
-    parts = connected_components(near_links(classes.drop("first"), max_diff, reach)).withColumnRenamed("node", "fp")
-    rooted = classes.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    out = prints.join(named, "fp", "left")
+    if reach is None:
+        classes, _ = runtime.materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+        parts = connected_components(near_links(classes.drop("first"), max_diff)).withColumnRenamed("node", "fp")
+        rooted = classes.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = rooted.join(smallest, "root").select("fp", "component_id")
+        out = prints.join(named, "fp", "left")
+    else:
+        out = _exact_duplicates(prints, reach)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
