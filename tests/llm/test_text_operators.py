@@ -464,3 +464,9 @@ def test_reach_is_exact(spark, monkeypatch):
     got = simhash._exact_duplicates(spark.createDataFrame(prints, "doc_id long, fp long, check long"), 25).collect()
     want = components(len(pairs), near)
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
+def test_equal_first_fingerprints_are_not_one_class(spark):
+    prints = [(1, 5, 0), (2, 5, -1), (3, 5, 1), (4, 5, -2)]
+    got = simhash._exact_duplicates(spark.createDataFrame(prints, "doc_id long, fp long, check long"), 25).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 2}
