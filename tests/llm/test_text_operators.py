@@ -350,27 +350,112 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(frame.where("false")).collect() == []
 
 
-def index_keys(fp, max_diff):
-    """Every block of the fingerprint with every sub-block of the other bits."""
-    out = set()
-    for k, (high, width) in enumerate(simhash._cuts(64, max_diff + 1)):
-        bits = f"{fp:064b}"
-        turned = bits[64 - high :] + bits[: 64 - high]
-        for j, (top, sub) in enumerate(simhash._cuts(64 - width, max_diff + 1)):
-            out.add((k, j, turned[:width], turned[64 - top : 64 - top + sub]))
+def by_rule(texts, shingle=5):
+    """Components of the texts under the rule of ``near_copies``, every pair compared."""
+    signs = np.array([simhash.signature(t, shingle, simhash.CHECK_WORDS + simhash.KEY_WORDS) for t in texts])
+    bits = simhash.key_bits(len(np.unique(signs, axis=0)))
+    places = simhash.key_places(bits, simhash.key_count(bits))
+    loose = np.unpackbits(signs[:, simhash.CHECK_WORDS :].copy().view(np.uint8), axis=1, bitorder="little")
+    near = []
+    for a in range(len(texts)):
+        apart = np.bitwise_count(signs[:a, : simhash.CHECK_WORDS] ^ signs[a, : simhash.CHECK_WORDS]).sum(axis=1)
+        for b in np.flatnonzero(apart <= simhash.REACH).tolist():
+            if (loose[a][places] == loose[b][places]).all(axis=1).any():
+                near.append((a, b))
+    return components(len(texts), near)
+
+
+def edited(rng, words, share):
+    """The words with that share of them replaced."""
+    out = list(words)
+    for k in rng.sample(range(len(out)), round(share * len(out))):
+        out[k] = "".join(rng.choices("aeioulmnrst", k=7))
     return out
 
 
-def test_edited_copies_are_found(spark):
-    """Copies of a long text with one word in fifty changed are one group, other texts are not."""
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_signature_bits():
+    """Each word is a majority of its own mix of the shingles' hashes; the first of the hashes themselves."""
+    import xxhash
+
+    for n in (1, 3, 5, 254, 255, 256, 700):
+        words = [f"w{k * k % 89}" for k in range(n)]
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(1, n - 4))]
+        got = simhash.signature("  ".join(words).upper(), 5, 3)
+        top = (1 << 64) - 1
+        for j in range(3):
+            mixed = hashes
+            if j:
+                odd = ((2 * j + 1) * 0x9E3779B97F4A7C15 | 1) & top
+                mixed = [(h * odd) & top for h in hashes]
+                mixed = [((h ^ h >> 32) * 0xD6E8FEB86659FD93) & top for h in mixed]
+                mixed = [h ^ h >> 32 for h in mixed]
+            assert int(got[j]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 60])
+def test_near_copies_follow_the_rule(spark, docs, empty, texts, chunk, monkeypatch):
+    """Against every pair: the whole small table, a dense group of edited copies, keys that go on in other pieces."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "BLOCK", 8 if chunk == 60 else simhash.BLOCK)
+    monkeypatch.setattr(simhash, "_TASK_BYTES", 1 << 14 if chunk == 60 else simhash._TASK_BYTES)
     rng = random.Random(8)
-    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(2, 9)))
-    base = [word() for _ in range(600)]
-    rows = [(k, " ".join(w if rng.random() > 0.02 or not k else word() for w in base)) for k in range(40)]
-    rows += [(100 + k, " ".join(word() for _ in range(300))) for k in range(60)]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 7, 5, 25).collect()}
-    assert sum(got[k] == 0 for k in range(40)) >= 36
-    assert all(got[k] == k for k in range(100, 160))
+    base = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 9))) for _ in range(600)]
+    more = [" ".join(edited(rng, base, 0.02 * rng.random())) for _ in range(150)]
+    rows = [(k, t) for k, t in enumerate(texts + more)]
+    want = by_rule(texts + more)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+    assert simhash.near_copies(empty).collect() == []
+    if chunk != 60:
+        odd = simhash.near_copies(docs, keep=("doc_id", "fp")).collect()
+        assert len(odd) == len(texts) + 2 and all((r["component_id"] is None) == (r["doc_id"] is None) for r in odd)
+
+
+def test_recall_at_similarity():
+    """Pairs of shingle similarity 0.8 and more are found by the keys of a table of any size; unlike texts are not linked."""
+    rng = random.Random(4)
+    words = simhash.CHECK_WORDS + simhash.KEY_WORDS
+    pairs = []
+    while len(pairs) < 400:
+        base = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 9))) for _ in range(rng.randint(100, 800))]
+        copy = edited(rng, base, rng.choice((0.015, 0.02, 0.024)))
+        a, b = " ".join(base), " ".join(copy)
+        like = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        if 0.78 <= like <= 0.84:
+            pairs.append((simhash.signature(a, 5, words), simhash.signature(b, 5, words), like))
+    left, right = (np.array([p[k] for p in pairs]) for k in (0, 1))
+    like = np.array([p[2] for p in pairs])
+    near = np.bitwise_count(left[:, : simhash.CHECK_WORDS] ^ right[:, : simhash.CHECK_WORDS]).sum(axis=1) <= simhash.REACH
+    for classes in (1000, 200_000, 16_000_000):
+        bits = simhash.key_bits(classes)
+        places = simhash.key_places(bits, simhash.key_count(bits))
+        found = near & (simhash.wide_keys(left, places) == simhash.wide_keys(right, places)).any(axis=1)
+        assert found[like >= 0.8].mean() >= 0.9
+    strangers = np.bitwise_count(left[1:, : simhash.CHECK_WORDS] ^ left[:-1, : simhash.CHECK_WORDS]).sum(axis=1)
+    assert strangers.min() > 2 * simhash.REACH - 20
+
+
+def test_copies_of_the_table_are_found(spark):
+    """All pairs of sf0.01 at shingle similarity 0.8 or more, by an exact join: at least 0.95 in one component.
+    256 bits cannot tell 0.7 from 0.8 in every case, but texts whose likest other is below 0.5 stay alone."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r["text"] and len(r["text"].split()) >= 20]
+    sets = {k: shingles(t.lower()) for k, t in rows}
+    holders = collections.defaultdict(list)
+    for k, s in sets.items():
+        for x in s:
+            holders[x].append(k)
+    common = collections.Counter((a, b) for own in holders.values() if len(own) < 200 for a in own for b in own if a < b)
+    near, akin = ([(a, b) for (a, b), n in common.items() if n >= least * (len(sets[a]) + len(sets[b]) - n)] for least in (0.8, 0.5))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 20 and sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    unlike = set(sets) - {k for pair in akin for k in pair}
+    grouped = collections.Counter(got.values())
+    assert len(unlike) > 500 and all(grouped[got[k]] == 1 for k in unlike)
 
 
 def test_pipeline_matches_its_parts(spark):
@@ -378,14 +463,9 @@ def test_pipeline_matches_its_parts(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r["doc_id"] for r in quality.judge(docs, P.path("piece_bpe_32k.model")).collect() if r["kept"]}
-    rows = [r.asDict() for r in docs.collect() if r["doc_id"] in kept]
-    prints = [tuple(x & (1 << 64) - 1 for x in simhash.two_fingerprints(r["text"], 5)) for r in rows]
-    keys = [index_keys(p[0], corpus_pipeline.MAX_DIFF) for p in prints]
-    rows_by_id = sorted(range(len(rows)), key=lambda k: rows[k]["doc_id"])
-    place = {k: i for i, k in enumerate(rows_by_id)}
-    near = [(place[a], place[b]) for a in range(len(rows)) for b in range(a) if keys[a] & keys[b] and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= corpus_pipeline.REACH]
-    root = components(len(rows), near)
-    want = {rows[rows_by_id[i]]["doc_id"] for i in range(len(rows)) if root[i] == i}
+    rows = sorted((r.asDict() for r in docs.collect() if r["doc_id"] in kept), key=lambda r: r["doc_id"])
+    root = by_rule([r["text"] for r in rows])
+    want = {rows[i]["doc_id"] for i in range(len(rows)) if root[i] == i}
     out = corpus_pipeline.run(spark, SF).collect()
     check_sequences(out)
     assert {r["doc_id"] for r in out} == want
@@ -444,29 +524,3 @@ def test_texts_of_no_learned_language_go(spark):
     assert not any(k < 0 for k in kept)
     clean = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
     assert clean <= kept
-
-
-def test_reach_is_exact(spark, monkeypatch):
-    """Links of both fingerprints against brute force, pairs that share no key and equal first fingerprints among them."""
-    monkeypatch.setattr(simhash, "TILE", 100)
-    rng = random.Random(9)
-    pairs = []
-    for k in range(120):
-        base = rng.getrandbits(128)
-        pairs += [base, base ^ sum(1 << b for b in rng.sample(range(128), rng.randint(20, 28)))]
-        if k % 10 == 0:
-            pairs += [base ^ (1 << 64) * rng.getrandbits(64)]  # the first fingerprint of base, another second one
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    prints = [(k, signed(x & (1 << 64) - 1), signed(x >> 64)) for k, x in enumerate(pairs)]
-    near = [(a, b) for a in range(len(pairs)) for b in range(a) if (pairs[a] ^ pairs[b]).bit_count() <= 25]
-    keys = [index_keys(x & (1 << 64) - 1, 7) for x in pairs]
-    assert any(not keys[a] & keys[b] for a, b in near)
-    got = simhash._exact_duplicates(spark.createDataFrame(prints, "doc_id long, fp long, check long"), 25).collect()
-    want = components(len(pairs), near)
-    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
-
-
-def test_equal_first_fingerprints_are_not_one_class(spark):
-    prints = [(1, 5, 0), (2, 5, -1), (3, 5, 1), (4, 5, -2)]
-    got = simhash._exact_duplicates(spark.createDataFrame(prints, "doc_id long, fp long, check long"), 25).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 2}

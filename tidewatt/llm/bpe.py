@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, types as T
@@ -166,7 +165,6 @@ class ByteBpe:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) if t else [] for t in texts]
-        runtime.claim(self.cache)
         get = self.cache.table(set().union(*split), self._learn).__getitem__
         return [b"".join(map(get, pieces)) for pieces in split]
 
@@ -174,10 +172,9 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    """One vocabulary, and one cache, for all tasks that a Python worker runs."""
-    return ByteBpe(path, pattern)
+    """One vocabulary, and one cache, for all tasks that a Python worker runs in turn."""
+    return runtime.hold(("byte BPE", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
-from tidewatt.llm.runtime import WordCache, claim
+from tidewatt.llm.runtime import WordCache, hold
 
 _SEPARATOR = "<|startoftext|>"
+#: The normaliser and the split that let chunks be encoded one by one.
+_NORMALISER = ["NFC", "\\s+", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _JOINED = 400
 _SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)").fullmatch
 
 
+def _by_chunks(path: str) -> bool:
+    """Whether the tokenizer's file is of the kind whose chunks can be encoded one by one."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    steps = (given.get("normalizer") or {}).get("normalizers") or []
+    normaliser = [x["pattern"].get("Regex") if x["type"] == "Replace" else x["type"] for x in steps]
+    cuts = (given.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = given["model"]
+    return (normaliser == _NORMALISER and [x.get("content") for x in steps][1] == " " and cuts[0].get("pattern") == {"Regex": _SPLIT} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+            and [x.get("type") for x in cuts[1:]] == ["ByteLevel"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+            and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not given.get("truncation") and not given.get("padding")
+            and all(x["special"] and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in given["added_tokens"]))
+
+
 class WordEncoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    The vocabulary drops white space and treats every run between white space by itself
-    (its normaliser and its split never look across it), so a text's ids are the ids of
-    its ASCII-white-space separated chunks in turn, and each chunk is encoded once.
+    A vocabulary whose normaliser and split are those of ``_NORMALISER`` and ``_SPLIT`` drops white
+    space and treats every run between white space by itself, so a text's ids are the ids of
+    its ASCII-white-space separated chunks in turn, and each chunk is encoded once. Any other
+    tokenizer encodes whole texts.
 
     Nearly all chunks are letters, with or without punctuation after them. For those the
     library's split is known (the letters, then the punctuation, each ending in a word-end
@@ -37,6 +55,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
+        self.by_chunks = _by_chunks(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -106,13 +125,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes; null counts as empty."""
-        claim(self.chunks, self.words)
+        if not self.by_chunks:
+            return [x.tobytes() for x in self._call([t or "" for t in texts])]
         split = [t.encode().split() if t else [] for t in texts]
         get = self.chunks.table(set().union(*split), self._learn).__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-@lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder, and one cache, for all tasks that a Python worker runs."""
-    return WordEncoder(path)
+    """One encoder, and one cache, for all tasks that a Python worker runs in turn."""
+    return hold(("word encoder", path), lambda: WordEncoder(path))

@@ -6,6 +6,8 @@ intermediate tables go to the folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -16,18 +18,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Text given to a kernel at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
-#: Words of a generation of a worker's cache (about 200 bytes each).
-CACHE_WORDS = 200_000
+SLICE_BYTES = 1 << 20
+#: Bytes of a generation of a worker's cache, and what an entry takes beside its word and value.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 160
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only where none is set and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tidewatt-")
@@ -104,30 +109,29 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], Sequence]], fie
                 columns = [part.column(i) for i in range(width)]
                 columns += [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, type=t) for x, t in zip(out, types[width:], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     picked = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text)).alias(free_name("text_in", keep)))
     return picked.mapInArrow(run, schema)
 
 
 class WordCache:
-    """What a worker has learnt about words: the last ``limit`` to twice as many that it met.
+    """What a worker has learnt about words: the last ``limit`` to twice as many bytes of them.
 
     Two generations: a word that is met again moves to the young one; when that is full, it
-    becomes the old one, and what was old goes. So common words stay, and memory is bounded.
+    becomes the old one, and what was old goes. So common words stay, and memory is bounded,
+    by two generations and what one slice of text adds, however long words are.
     """
 
-    def __init__(self, limit: int = CACHE_WORDS):
-        self.limit = limit
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.limit, self.bytes = limit, 0
         self.young: dict = {}
         self.old: dict = {}
 
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
     def table(self, words: set, learn: Callable[[list], list]) -> dict:
         """Values of all ``words``; ``learn`` gives those of a list that are not known."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if self.bytes > self.limit:
+            self.old, self.young, self.bytes = self.young, {}, 0
         young, old = self.young, self.old
         unseen = []
         for word in words.difference(young):
@@ -136,18 +140,34 @@ class WordCache:
                 unseen.append(word)
             else:
                 young[word] = value
+                self.bytes += ENTRY_BYTES + len(word) + len(value)
         if unseen:
-            young.update(zip(unseen, learn(unseen), strict=True))
+            values = learn(unseen)
+            young.update(zip(unseen, values, strict=True))
+            self.bytes += ENTRY_BYTES * len(unseen) + sum(map(len, unseen)) + sum(map(len, values))
         return young
 
 
-_in_use: list[WordCache] = []
+_held: list = []
+
 
+def hold(key: tuple, make: Callable[[], object]):
+    """The object that ``make`` gives for ``key``: made once a worker, until it asks for another.
 
-def claim(*caches: WordCache) -> None:
-    """Make these the only caches that hold anything: a worker serves one kernel at a time, and
-    later stages find its memory free."""
-    if not _in_use or _in_use[0] is not caches[0]:
-        for cache in _in_use:
-            cache.clear()
-        _in_use[:] = caches
+    A worker serves one kernel at a time, so what an earlier stage's kernel held goes first.
+    """
+    if not _held or _held[0] != key:
+        _held.clear()
+        give_back()
+        _held[:] = [key, make()]
+    return _held[1]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

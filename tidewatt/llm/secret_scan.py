@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, types as T
 
@@ -47,13 +46,15 @@ _HEX_ANY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8}|[A-Za-z]{1,2}[0-9]{1,4}")
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str):
-    import tiktoken
+    def make():
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file) if a}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file) if a}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return runtime.hold(("vocabulary", path, pattern), make)
 
 
 def known(run: str, encode, most: float = MAX_EFFICIENCY) -> bool:

@@ -4,18 +4,29 @@ Fingerprints. A-Z in lower case, words between ASCII white space, shingles of fo
 (fewer words: all of them; none: fingerprint zero); a bit is 1 if over half of the shingles'
 XXH64 (seed 42), repeats included, have it.
 
-Links, at ``max_diff`` or fewer differing bits, exactly:
+``near_duplicates`` links fingerprints at ``max_diff`` or fewer differing bits, exactly: two that
+differ in at most d bits agree on one of d + 1 blocks, and the rest of the bits on one of d + 1
+sub-blocks: (d + 1)^2 keys each, whatever the table's size.
 
-* equal fingerprints are one class before anything is compared;
-* two fingerprints that differ in at most d bits agree on one of d + 1 blocks, and the rest
-  of the bits on one of d + 1 sub-blocks: (d + 1)^2 keys each, whatever the table's size;
+``near_copies`` links copies with more edits, down to shingle similarity ``SIMILARITY``, where a
+single 64-bit fingerprint differs in a sixth of its bits and no block of it is sure to agree. A
+signature holds ``CHECK_WORDS + KEY_WORDS`` independent fingerprints of the same shingles: two
+texts link if at most ``REACH`` of the check words' bits differ and one of ``key_count`` keys,
+each a draw of the key words' bits, agrees. A key has as many bits as the number of different
+signatures, so a row meets about one stranger a key at every size, and there are as many keys
+as find ``RECALL`` of the pairs at ``SIMILARITY`` (more of closer ones).
+
+The search is the same for both:
+
+* equal fingerprints (signatures) are one class before anything is compared;
 * rows are range-partitioned and sorted by (key, Gray rank), so that a hot key is spread over
   as many tasks as its rows need. In the order of the Gray code neighbours differ in few bits,
   so runs of rows share most bits: a node keeps the bits its rows have in common, its children
   only the further ones, a search adds up differences from the top and drops a whole node as
-  soon as they pass ``max_diff``;
-* a key that goes on into another task hands its runs on as blocks (a fingerprint list with
-  its common bits); pairs of such blocks are pruned by their common bits, then compared.
+  soon as they pass the radius, or if all its rows are in the query's component already;
+* a task reads its rows in pieces of about ``CHUNK``; a key that goes on in another piece hands
+  its runs on as blocks (a fingerprint list with its common bits). Pairs of blocks are pruned by
+  their common bits before any list is moved, then compared.
 
 Tasks hand on stars (member, smallest of its local component), not pairs, so a group of
 copies costs a row a member. ``components.connected_components`` joins the stars.
@@ -27,6 +38,9 @@ fingerprint and a null component; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -38,16 +52,15 @@ MAX_DIFF = 4
 SHINGLE = 4
 FANOUT = 16
 BLOCK = 2048
+#: Rows that a task searches at once.
+CHUNK = 1 << 17
+#: Bytes of shuffled rows a task is given.
+_TASK_BYTES = 16 << 20
 _PAIRS = 1 << 20
 
-
-def _majority(hashes: np.ndarray) -> int:
-    """The bits that over half of the hashes have, as a signed integer."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+#: ``near_copies``: fingerprints that decide, fingerprints that keys are drawn from, differing bits of the
+#: former (of 256) up to which texts link, the similarity that keys are made for, and the share of its pairs they find.
+CHECK_WORDS, KEY_WORDS, REACH, SIMILARITY, RECALL = 4, 8, 48, 0.8, 0.97
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -66,30 +79,39 @@ def _hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
 
 
+def signature(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """``words`` independent fingerprints of one text; the first is that of the plain XXH64 values."""
+    hashes = _hashes(text, shingle)
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
+    ones = np.zeros(64 * words, np.int64)
+    odd = (2 * np.arange(words, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for at in range(0, len(hashes), 255):  # as many rows as a byte can count
+        part = hashes[at : at + 255, None]
+        if words > 1:
+            mixed = part * odd
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            mixed[:, :1] = part
+            part = mixed
+        ones += np.add.reduce(np.unpackbits(part.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text, as a signed integer."""
-    hashes = _hashes(text, shingle)
-    return _majority(hashes) if len(hashes) else 0
+    return int(signature(text, shingle).view("<i8")[0])
 
 
-def two_fingerprints(text: str | None, shingle: int = SHINGLE) -> tuple[int, int]:
-    """The fingerprint, and a second one over the same shingles with other, independent bits."""
-    hashes = _hashes(text, shingle)
-    if not len(hashes):
-        return 0, 0
-    other = hashes * np.uint64(0x9E3779B97F4A7C15)
-    other ^= other >> np.uint64(32)
-    other *= np.uint64(0xD6E8FEB86659FD93)
-    other ^= other >> np.uint64(32)
-    return _majority(hashes), _majority(other)
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (signed 64-bit)."""
+    return runtime.map_texts(docs, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], [T.StructField("fp", T.LongType())])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, second: bool = False) -> DataFrame:
-    """doc_id, fp (signed 64-bit), and with ``second`` the second fingerprint as ``check``."""
-    fields = [T.StructField("fp", T.LongType())]
-    if not second:
-        return runtime.map_texts(docs, lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]], fields)
-    return runtime.map_texts(docs, lambda: lambda texts: list(zip(*(two_fingerprints(t, shingle) for t in texts), strict=True)), [*fields, T.StructField("check", T.LongType())])
+def signatures(docs: DataFrame, shingle: int, words: int, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, and signature (the fingerprints, eight bytes each)."""
+    return runtime.map_texts(docs, lambda: lambda texts: [[signature(t, shingle, words).tobytes() for t in texts]], [T.StructField("signature", T.BinaryType())], keep=keep)
 
 
 def _field(x: Column, high: int, width: int) -> Column:
@@ -127,45 +149,100 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def _common(fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gray_ranks(fps: np.ndarray) -> np.ndarray:
+    for shift in (1, 2, 4, 8, 16, 32):
+        fps = fps ^ (fps >> np.uint64(shift))
+    return fps
+
+
+def _of_gray(rank: np.ndarray) -> np.ndarray:
+    return rank ^ (rank >> np.uint64(1))
+
+
+def agreement(similarity: float) -> float:
+    """How likely a bit is to agree for two texts of that Jaccard similarity of shingles."""
+    return 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def key_bits(classes: int) -> int:
+    """Bits of a key: as many as number the classes."""
+    return min(40, max(8, (max(classes, 1) - 1).bit_length()))
+
+
+def key_count(bits: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    return max(1, math.ceil(-math.log(1 - recall) / agreement(similarity) ** bits))
+
+
+def key_places(bits: int, count: int) -> np.ndarray:
+    """For each key its places among the key words' bits: cuts of fixed shuffles, so that keys share few of them."""
+    rng = np.random.default_rng(42)
+    total, rows = 64 * KEY_WORDS, []
+    while len(rows) < count:
+        places = rng.permutation(total)
+        rows += [places[k * bits : (k + 1) * bits] for k in range(total // bits)]
+    return np.array(rows[:count])
+
+
+def wide_keys(signs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(rows, keys): the number of the key above bit 40, its value below."""
+    bits = np.unpackbits(np.ascontiguousarray(signs[:, CHECK_WORDS:]).view(np.uint8), axis=1, bitorder="little")
+    out = np.empty((len(signs), len(places)), np.int64)
+    for k, at in enumerate(places):
+        value = np.zeros(len(signs), np.int64)
+        for j in at:
+            value = value << 1 | bits[:, j]
+        out[:, k] = value | k << 40
+    return out
+
+
+def _near(sign: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of rows differ in at most ``radius`` bits."""
+    return np.bitwise_count(sign[a] ^ sign[b]).sum(axis=1, dtype=np.int64) <= radius
+
+
+def _common(sign: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per run: mask of the bits its rows share, and their values."""
-    ones = np.bitwise_and.reduceat(fps, starts)
-    some = np.bitwise_or.reduceat(fps, starts)
+    ones = np.bitwise_and.reduceat(sign, starts, axis=0)
+    some = np.bitwise_or.reduceat(sign, starts, axis=0)
     return ~(ones ^ some), ones
 
 
 class GrayIndex:
-    """The hierarchical index of one Gray-ordered list of different fingerprints."""
+    """The hierarchical index of one Gray-ordered list of different fingerprints (rows of one or more words).
+
+    ``label``: components that are known; a node whose rows are all in one has that, else -1.
+    """
 
-    def __init__(self, fps: np.ndarray, fanout: int = FANOUT):
-        self.fps, self.fanout = fps, fanout
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves up: starts, masks, values
+    def __init__(self, sign: np.ndarray, label: np.ndarray | None = None, fanout: int = FANOUT):
+        self.sign, self.fanout = sign, fanout
+        self.label = np.arange(len(sign)) if label is None else label
+        self.levels: list[tuple[np.ndarray, ...]] = []  # from the leaves up: masks, values, labels
         step = fanout
         while True:
-            starts = np.arange(0, len(fps), step)
-            self.levels.append((starts, *_common(fps, starts)))
+            starts = np.arange(0, len(sign), step)
+            low, high = np.minimum.reduceat(self.label, starts), np.maximum.reduceat(self.label, starts)
+            self.levels.append((*_common(sign, starts), np.where(low == high, low, -1)))
             if len(starts) == 1:
                 break
             step *= fanout
 
-    def search(self, queries: np.ndarray, max_diff: int):
-        """Yields (query numbers, row numbers) of pairs at ``max_diff`` or fewer bits."""
+    def search(self, rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Yields (row of ``rows``, row) of pairs at ``radius`` or fewer bits that are of different components."""
         width = max(1, _PAIRS // (64 * self.fanout))
-        for at in range(0, len(queries), width):
-            q = np.arange(at, min(at + width, len(queries)))
+        for at in range(0, len(rows), width):
+            q = rows[at : at + width]
             node = np.zeros(len(q), np.int64)
             so_far = np.zeros(len(q), np.int64)
-            known = np.zeros(len(q), np.uint64)
+            known = np.zeros((len(q), self.sign.shape[1]), np.uint64)
             for depth in range(len(self.levels) - 1, -1, -1):
-                starts, masks, values = self.levels[depth]
-                new = masks[node] & ~known
-                so_far = so_far + np.bitwise_count((queries[q] ^ values[node]) & new)
-                live = so_far <= max_diff
+                masks, values, labels = self.levels[depth]
+                so_far = so_far + np.bitwise_count((self.sign[q] ^ values[node]) & masks[node] & ~known).sum(axis=1, dtype=np.int64)
+                live = (so_far <= radius) & (labels[node] != self.label[q])
                 q, node, so_far = q[live], node[live], so_far[live]
                 if not len(q):
                     break
                 known = masks[node]
-                count = len(self.levels[depth - 1][0]) if depth else len(self.fps)
+                count = len(self.levels[depth - 1][0]) if depth else len(self.sign)
                 first = node * self.fanout
                 n = np.minimum(self.fanout, count - first)
                 each = np.repeat(np.arange(len(q)), n)
@@ -173,43 +250,46 @@ class GrayIndex:
                 q, node, so_far, known = q[each], child, so_far[each], known[each]
             if not len(q):
                 continue
-            rest = np.bitwise_count((queries[q] ^ self.fps[node]) & ~known)
-            hit = so_far + rest <= max_diff
+            rest = np.bitwise_count((self.sign[q] ^ self.sign[node]) & ~known).sum(axis=1, dtype=np.int64)
+            hit = (so_far + rest <= radius) & (self.label[q] != self.label[node])
             yield q[hit], node[hit]
 
 
-class _Rule:
-    """Which pairs link: ``max_diff`` bits of the fingerprint, or ``reach`` bits of both."""
-
-    def __init__(self, max_diff: int, reach: int | None):
-        self.reach, self.radius = reach, max_diff if reach is None else reach
+#: Rows of a key whose neighbourhoods are found before the index is searched.
+_LEADERS = 8
 
-    def near(self, a: np.ndarray, b: np.ndarray, more_a: np.ndarray | None, more_b: np.ndarray | None) -> np.ndarray:
-        apart = np.bitwise_count(a ^ b).astype(np.int64)
-        if self.reach is not None:
-            apart += np.bitwise_count(more_a ^ more_b)
-        return apart <= self.radius
 
-    def pairs(self, index: GrayIndex, more: np.ndarray | None, queries: np.ndarray, more_queries: np.ndarray | None):
-        """(query numbers, row numbers) of linked pairs."""
-        for q, node in index.search(queries, self.radius):
-            if self.reach is not None:
-                keep = self.near(queries[q], index.fps[node], more_queries[q], more[node])
-                q, node = q[keep], node[keep]
-            yield q, node
+def _components(sign: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest row of each row's component, among Gray-ordered rows of one key.
 
-
-def _stars(fps: np.ndarray, more: np.ndarray | None, rule: _Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (member, smallest of its component) within one key's rows, in Gray order."""
-    label = np.arange(len(fps))
-    for q, node in rule.pairs(GrayIndex(fps), more, fps, more):
-        apart = label[q] != label[node]
-        if apart.any():
-            label = local_stars(np.concatenate([label[q[apart]], np.arange(len(fps))]), np.concatenate([label[node[apart]], label]), len(fps))
-    return _edges(label, fps.view(np.int64))
+    The neighbourhoods of a few rows come first: they join a dense group in one step each. A link
+    between two components has an end outside the largest, so only rows outside it are searched.
+    """
+    n = len(sign)
+    label, rest = np.arange(n), np.arange(n)
+    us, vs = [], []
+    for _ in range(_LEADERS):
+        if len(rest) < 2:
+            break
+        near = np.bitwise_count(sign ^ sign[rest[0]]).sum(axis=1, dtype=np.int64) <= radius
+        us.append(np.flatnonzero(near))
+        vs.append(np.full(len(us[-1]), rest[0]))
+        near[rest[0]] = True
+        rest = rest[~near[rest]]
+    if us:
+        label = local_stars(np.concatenate(us), np.concatenate(vs), n)
+    outside = np.flatnonzero(label != np.bincount(label).argmax())
+    found = label
+    for q, node in GrayIndex(sign, found).search(outside, radius):
+        a, b = label[q], label[node]
+        live = a != b
+        if live.any():
+            label = local_stars(np.concatenate([a[live], np.arange(n)]), np.concatenate([b[live], label]), n)
+    return label
 
 
 def _edges(label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (member, smallest of its component)."""
     low = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(low, label, ids)
     low = low[label]
@@ -217,192 +297,187 @@ def _edges(label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], low[moved]
 
 
-_LINKS = "u long, v long, key long, block int, part int, common binary, shared binary, fps binary, checks binary"
+def _chunks(batches, size: int) -> Iterator[tuple[pa.Table, bool, bool]]:
+    """Pieces of rows sorted by key: (piece, it begins in the middle of a key, it ends there).
 
-
-def _search_partition(rule: _Rule):
-    """Over rows (key, fp) sorted by key and Gray rank: edges, and blocks of keys at either end."""
+    A piece ends with a key, unless one key fills it. At a task's ends the key may go on in another task.
+    """
+    held: list[pa.Table] = []
+    n, open_start = 0, True
+
+    def cut(last: bool):
+        nonlocal n, open_start
+        table = pa.concat_tables(held).combine_chunks()
+        key = table.column("key").to_numpy()
+        end = len(key) if last else int(np.searchsorted(key, key[-1]))
+        whole = end > 0
+        end = end or len(key)
+        piece = table.slice(0, end), open_start, last or not whole
+        held[:] = [table.slice(end)] if end < len(key) else []
+        n, open_start = len(key) - end, not whole
+        return piece
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n >= size:
+                yield cut(False)
+    if n:
+        yield cut(True)
+
+
+_LINKS = "u long, v long, key long, part long, block long, common array<long>, shared array<long>, nodes binary, signs binary"
+_LINK_TYPES = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2 + [pa.binary()] * 2
+
+
+def _search_partition(words: int, radius: int, chunk: int, block: int):
+    """Over rows (key, gray, further words..., node) sorted by key and Gray rank: edges, and blocks of
+    keys that go on in another piece."""
+    names = [x.split()[0] for x in _LINKS.split(", ")]
+
+    def edges(u, v):
+        for at in range(0, len(u), 1 << 16):
+            m = min(1 << 16, len(u) - at)
+            yield pa.RecordBatch.from_arrays([pa.array(u[at : at + m]), pa.array(v[at : at + m]), *[pa.nulls(m, t) for t in _LINK_TYPES[2:]]], names=names)
 
     def run(batches):
         from pyspark import TaskContext
 
-        rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not rows:
-            return
-        part = TaskContext.get().partitionId()
-        table = pa.concat_tables(rows)
-        del rows
-        key, member = (table.column(c).to_numpy() for c in ("key", "fp"))
-        fp = member.view(np.uint64)
-        more = None if rule.reach is None else table.column("check").to_numpy().view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(starts[1:], len(key))
-        sizes = ends - starts
-        small = np.repeat(sizes <= FANOUT, sizes)  # one leaf each: rows are compared at every distance at once
-        a, b = [], []
-        for shift in range(1, FANOUT):
-            same = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
-            near = same[rule.near(fp[same], fp[same + shift], None if more is None else more[same], None if more is None else more[same + shift])]
-            if len(same) == 0:
-                break
-            a.append(near)
-            b.append(near + shift)
-        us, vs = [], []
-        if a:
-            u, v = _edges(local_stars(np.concatenate(a), np.concatenate(b), len(key)), member)
-            us.append(u)
-            vs.append(v)
-        for s, e in zip(starts[sizes > FANOUT].tolist(), ends[sizes > FANOUT].tolist(), strict=True):
-            u, v = _stars(fp[s:e], None if more is None else more[s:e], rule)
-            us.append(u)
-            vs.append(v)
-        u = np.concatenate(us) if us else np.zeros(0, np.int64)
-        v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-        names = [x.split()[0] for x in _LINKS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        for at in range(0, len(u), 1 << 16):
-            m = min(1 << 16, len(u) - at)
-            yield pa.RecordBatch.from_arrays([pa.array(u[at : at + m]), pa.array(v[at : at + m]), *[pa.nulls(m, t) for t in types[2:]]], names=names)
-        for k in sorted({0, len(starts) - 1}):  # only the first and the last key can go on elsewhere
-            s, e = int(starts[k]), int(ends[k])
-            for n, at in enumerate(range(s, e, BLOCK)):
-                f = fp[at : min(e, at + BLOCK)]
-                shared, common = _common(f, np.zeros(1, np.int64))
-                row = [None, None, int(key[s]), n, part, common.tobytes(), shared.tobytes(), f.tobytes(), None if more is None else more[at : min(e, at + BLOCK)].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+        task = TaskContext.get().partitionId()
+        for number, (table, open_start, open_end) in enumerate(_chunks(batches, chunk)):
+            part = task << 24 | number
+            key = table.column("key").to_numpy()
+            sign = np.empty((len(key), words), np.uint64)
+            sign[:, 0] = _of_gray(table.column("gray").to_numpy().view(np.uint64))
+            for w in range(1, words):
+                sign[:, w] = table.column(f"c{w}").to_numpy().view(np.uint64)
+            node = table.column("node").to_numpy() if "node" in table.column_names else sign[:, 0].view(np.int64)
+            del table
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            sizes = ends - starts
+            small = np.repeat(sizes <= FANOUT, sizes)  # one leaf each: rows are compared at every distance at once
+            a, b = [], []
+            for shift in range(1, FANOUT):
+                same = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
+                if not len(same):
+                    break
+                near = np.concatenate([same[k : k + _PAIRS][_near(sign, same[k : k + _PAIRS], same[k : k + _PAIRS] + shift, radius)] for k in range(0, len(same), _PAIRS)])
+                a.append(near)
+                b.append(near + shift)
+            if a:
+                yield from edges(*_edges(local_stars(np.concatenate(a), np.concatenate(b), len(key)), node))
+            for s, e in zip(starts[sizes > FANOUT].tolist(), ends[sizes > FANOUT].tolist(), strict=True):
+                yield from edges(*_edges(_components(sign[s:e], radius), node[s:e]))
+            for k in sorted({0 if open_start else len(starts) - 1, len(starts) - 1 if open_end else 0}) if open_start or open_end else ():
+                s, e = int(starts[k]), int(ends[k])
+                for n, at in enumerate(range(s, e, block)):
+                    own = sign[at : min(e, at + block)]
+                    shared, common = _common(own, np.zeros(1, np.int64))
+                    row = [None, None, int(key[s]), part, n, common[0].view(np.int64).tolist(), shared[0].view(np.int64).tolist(), node[at : min(e, at + block)].tobytes(), own.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _LINK_TYPES, strict=True)], names=names)
 
     return run
 
 
-def _search_blocks(rule: _Rule):
-    """Over pairs of blocks of one key from different tasks: the stars of their union."""
+def _search_blocks(words: int, radius: int):
+    """Over pairs of blocks of one key: the stars of their union."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                left, right = (np.frombuffer(row[x], np.uint64) for x in ("fps", "other_fps"))
-                ids = np.concatenate([left, right]).view(np.int64)
-                shared = (np.frombuffer(row["shared"], np.uint64) & np.frombuffer(row["other_shared"], np.uint64))[0]
-                apart = (np.frombuffer(row["common"], np.uint64) ^ np.frombuffer(row["other_common"], np.uint64))[0]
-                if np.bitwise_count(apart & shared) > rule.radius:
-                    continue
-                more = [None if rule.reach is None else np.frombuffer(row[x], np.uint64) for x in ("checks", "other_checks")]
-                label = np.arange(len(ids))
-                for q, node in rule.pairs(GrayIndex(left), more[0], right, more[1]):
-                    a, b = label[q + len(left)], label[node]
-                    live = a != b
-                    if live.any():
-                        label = local_stars(np.concatenate([a[live], np.arange(len(ids))]), np.concatenate([b[live], label]), len(ids))
-                u, v = _edges(label, ids)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                sign = np.concatenate([np.frombuffer(row[x], np.uint64).reshape(-1, words) for x in ("signs", "other_signs")])
+                node = np.concatenate([np.frombuffer(row[x], np.int64) for x in ("nodes", "other_nodes")])
+                order = np.argsort(_gray_ranks(sign[:, 0]), kind="stable")
+                u, v = _edges(_components(sign[order], radius), node[order])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
 
-def near_links(classes: DataFrame, max_diff: int = MAX_DIFF, reach: int | None = None) -> DataFrame:
-    """``classes(fp[, check])``, each fingerprint once, to edges (u, v) of fingerprints that
-    connect all those at ``max_diff`` or fewer differing bits.
+def _apart(a: str, b: str, shared_a: str, shared_b: str) -> Column:
+    """Bits that two blocks surely differ in."""
+    both = F.zip_with(shared_a, shared_b, lambda x, y: x.bitwiseAND(y))
+    differ = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    return F.aggregate(F.zip_with(both, differ, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
 
-    With ``reach``, the rule is that many bits of fingerprint and check together. Pairs that
-    differ in more than ``max_diff`` bits of the fingerprint are then found if they share a key.
-    """
-    spark = classes.sparkSession
-    if max_diff < 0 or reach is not None and reach < max_diff:
-        raise ValueError("max_diff is negative, or reach is below it")
-    rule = _Rule(max_diff, reach)
-    own = ["fp"] if reach is None else ["fp", "check"]
-    keyed = classes.select(F.explode(index_keys(F.col("fp"), max_diff)).alias("key"), gray_rank(F.col("fp")).alias("gray"), *own)
-    ordered = keyed.repartitionByRange(runtime.shuffle_partitions(spark), "key", "gray").sortWithinPartitions("key", "gray")
-    found, _ = runtime.materialize(ordered.drop("gray").mapInArrow(_search_partition(rule), _LINKS), "links")
+
+def _links(keyed: DataFrame, rows: int, words: int, radius: int) -> DataFrame:
+    """``keyed(key, gray, c1.., [node])`` of about ``rows`` rows to edges (u, v) that connect all rows of a key
+    at ``radius`` or fewer bits."""
+    parts = max(1, -(-rows * 8 * (len(keyed.columns)) // _TASK_BYTES))
+    ordered = keyed.repartitionByRange(parts, "key", "gray").sortWithinPartitions("key", "gray")
+    found, _ = runtime.materialize(ordered.mapInArrow(_search_partition(words, radius, CHUNK, BLOCK), _LINKS), "links")
     inside = found.where("u is not null").select("u", "v")
     blocks = found.where("u is null").drop("u", "v")
-    many = blocks.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
-    blocks = blocks.join(many, "key")
-    other = blocks.select("key", *[F.col(c).alias(f"other_{c}") for c in ("part", "common", "shared", "fps", "checks")])
-    pairs = blocks.join(other, "key").where("part < other_part").drop("key", "block", "part", "other_part")
-    return inside.unionByName(pairs.mapInArrow(_search_blocks(rule), "u long, v long"))
-
-
-#: Classes of a tile of ``exact_links``; rows of it that are compared with another tile at a time.
-TILE, STRIP = 16_384, 32
-
-
-def _tiles(batches):
-    from pyspark import TaskContext
-
-    rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if rows:
-        table, part = pa.concat_tables(rows), TaskContext.get().partitionId()
-        node, fp, check = (table.column(c).to_numpy() for c in ("node", "fp", "check"))
-        for n, at in enumerate(range(0, len(node), TILE)):
-            row = [(part << 20) + n, *(x[at : at + TILE].tobytes() for x in (node, fp, check))]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["tile", "nodes", "fps", "checks"])
-
-
-def _compare_tiles(reach: int):
-    """Over pairs of tiles: the stars of all pairs at ``reach`` or fewer bits of both fingerprints."""
-
-    def run(batches):
+    many = blocks.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    heads = blocks.select("key", "part", "block", "common", "shared").join(many, "key")
+    others = heads.select("key", *[F.col(c).alias(f"other_{c}") for c in ("part", "block", "common", "shared")])
+    close = heads.join(others, "key").where(F.col("part") < F.col("other_part")).where(_apart("common", "other_common", "shared", "other_shared") <= radius)
+    lists = blocks.select("key", "part", "block", "nodes", "signs")
+    pairs = close.select("key", "part", "block", "other_part", "other_block").join(lists, ["key", "part", "block"])
+    pairs = pairs.join(lists.select("key", *[F.col(c).alias(f"other_{c}") for c in ("part", "block", "nodes", "signs")]), ["key", "other_part", "other_block"])
+    return inside.unionByName(pairs.select("nodes", "signs", "other_nodes", "other_signs").mapInArrow(_search_blocks(words, radius), "u long, v long"))
+
+
+def near_links(classes: DataFrame, max_diff: int = MAX_DIFF, rows: int | None = None) -> DataFrame:
+    """``classes(fp)``, each fingerprint once, to edges (u, v) of fingerprints that connect all those at
+    ``max_diff`` or fewer differing bits."""
+    if max_diff < 0:
+        raise ValueError("max_diff is negative")
+    n = classes.count() if rows is None else rows
+    keyed = classes.select(F.explode(index_keys(F.col("fp"), max_diff)).alias("key"), gray_rank(F.col("fp")).alias("gray"))
+    return _links(keyed, n * (max_diff + 1) ** 2, 1, max_diff)
+
+
+def copy_links(classes: DataFrame, rows: int | None = None, reach: int = REACH) -> DataFrame:
+    """``classes(node, signature)``, each signature once, to edges (u, v) of nodes that connect all those that
+    share a key and differ in at most ``reach`` bits of the check words."""
+    n = classes.count() if rows is None else rows
+    places = key_places(key_bits(n), key_count(key_bits(n)))
+    names = ["key", "gray", *[f"c{w}" for w in range(1, CHECK_WORDS)], "node"]
+
+    def spread(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b, more_a, more_b = (np.frombuffer(row[x], np.uint64) for x in ("fps", "other_fps", "checks", "other_checks"))
-                ids = np.concatenate([np.frombuffer(row[x], np.int64) for x in ("nodes", "other_nodes")])
-                label, everyone = np.arange(len(ids)), np.arange(len(ids))
-                if row["tile"] == row["other_tile"]:
-                    label[len(a) :] = label[: len(a)]
-                for at in range(0, len(a), STRIP):
-                    apart = np.bitwise_count(a[at : at + STRIP, None] ^ b)
-                    apart += np.bitwise_count(more_a[at : at + STRIP, None] ^ more_b)
-                    hit = np.flatnonzero(apart.ravel() <= reach)
-                    u, v = label[hit // len(b) + at], label[hit % len(b) + len(a)]
-                    live = u != v
-                    if live.any():
-                        label = local_stars(np.concatenate([u[live], everyone]), np.concatenate([v[live], label]), len(ids))
-                u, v = _edges(label, ids)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sign = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint64).reshape(-1, CHECK_WORDS + KEY_WORDS)
+                key = wide_keys(sign, places)
+                columns = [key.ravel(), np.repeat(_gray_ranks(sign[:, 0]).view(np.int64), len(places))]
+                columns += [np.repeat(sign[:, w].view(np.int64), len(places)) for w in range(1, CHECK_WORDS)]
+                columns.append(np.repeat(part.column("node").to_numpy(), len(places)))
+                for a in range(0, len(columns[0]), 1 << 14):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 14)]) for c in columns], names=names)
+
+    keyed = classes.select("node", "signature").mapInArrow(spread, ", ".join(f"{x} long" for x in names))
+    return _links(keyed, n * len(places), CHECK_WORDS, reach)
+
+
+def _rooted(classes: DataFrame, edges: DataFrame, node: str, own: list[str]) -> DataFrame:
+    """``own`` columns of the classes and component_id, the smallest ``first`` of the component."""
+    parts = connected_components(edges).withColumnRenamed("node", node)
+    rooted = classes.join(parts, node, "left").select(*own, "first", F.coalesce("component", node).alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(smallest, "root").select(*own, "component_id")
 
-    return run
 
+def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+    prints, _ = runtime.materialize(fingerprints(docs, shingle), "fingerprints")
+    classes, _ = runtime.materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    named = _rooted(classes, near_links(classes.select("fp"), max_diff), "fp", ["fp"])
+    out = prints.join(named, "fp", "left")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
-def exact_links(classes: DataFrame, reach: int) -> DataFrame:
-    """``classes(node, fp, check)`` to edges (u, v) of nodes that connect all those at ``reach`` or fewer
-    differing bits of both fingerprints together, exactly: every tile is compared with every other.
 
-    At a fifth of the bits no key is selective (within one half 12 bits may differ), so the work is
-    quadratic in the classes; memory is that of two tiles, and tiles are shuffled once.
-    """
-    n = classes.count()
-    dealt = classes.select("node", "fp", "check").repartition(max(1, -(-n // TILE)))
-    tiles, _ = runtime.materialize(dealt.mapInArrow(_tiles, "tile long, nodes binary, fps binary, checks binary"), "tiles")
-    parts = max(1, min(-(-n // TILE), runtime.shuffle_partitions(classes.sparkSession)))
-    left, other = tiles.repartition(parts), tiles.repartition(parts).select(*[F.col(c).alias(f"other_{c}") for c in tiles.columns])
-    pairs = left.hint("shuffle_replicate_nl").join(other, F.col("tile") <= F.col("other_tile"))
-    return pairs.mapInArrow(_compare_tiles(reach), "u long, v long")
-
-
-def _exact_duplicates(prints: DataFrame, reach: int) -> DataFrame:
-    """doc_id, fp, component_id of ``prints(doc_id, fp, check)``; a class is a pair of fingerprints."""
-    grouped = prints.where("doc_id is not null").groupBy("fp", "check").agg(F.min("doc_id").alias("first"))
+def near_copies(docs: DataFrame, shingle: int = 5, reach: int = REACH, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs``: the columns ``keep`` (doc_id among them) and component_id under the wider
+    rule (see the module's head). No column of ``keep`` may be named signature or component_id."""
+    prints, _ = runtime.materialize(signatures(docs, shingle, CHECK_WORDS + KEY_WORDS, keep), "signatures")
+    grouped = prints.where("doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("first"))
     classes, _ = runtime.materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    parts = connected_components(exact_links(classes, reach))
-    rooted = classes.join(parts, "node", "left").select("fp", "check", "first", F.coalesce("component", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(smallest, "root").select("fp", "check", "component_id"), ["fp", "check"], "left")
-
-
-def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, shingle: int = SHINGLE, reach: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits), component_id.
-
-    ``reach`` widens the rule to copies with more edits: see ``exact_links``; ``max_diff`` has no part in it.
-    """
-    prints, _ = runtime.materialize(fingerprints(docs, shingle, reach is not None), "fingerprints")
-    if reach is None:
-        classes, _ = runtime.materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-        parts = connected_components(near_links(classes.drop("first"), max_diff)).withColumnRenamed("node", "fp")
-        rooted = classes.join(parts, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-        smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = rooted.join(smallest, "root").select("fp", "component_id")
-        out = prints.join(named, "fp", "left")
-    else:
-        out = _exact_duplicates(prints, reach)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = _rooted(classes, copy_links(classes, reach=reach), "node", ["signature"])
+    out = prints.join(named, "signature", "left")
+    return out.select(*[F.col(runtime.quoted(c)) for c in keep], F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
