@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatt.llm import language, packing, quality, runtime, secret_scan, simhash
 from tidewatt.llm.queries import PIECES, SECRET_RANKS, WORD_VOCABULARY
 
-#: The near-duplicate stage: words of a shingle; bits that its former key index was sure of (the exact
-#: search does not need them); bits of both fingerprints (of 128) up to which copies count: at least 0.8 agree.
-SHINGLE, MAX_DIFF, REACH = 5, 7, 25
+#: The near-duplicate stage: words of a shingle. ``simhash.near_copies`` is made for a similarity of 0.8.
+SHINGLE = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +28,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group stays, a repeated row once; rows of null doc_id stay."""
-    found = simhash.near_duplicates(docs, max_diff=MAX_DIFF, shingle=SHINGLE, reach=REACH)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*[F.col(runtime.quoted(c)) for c in docs.columns])
+    """The document of the smallest doc_id of each group stays; of rows of one doc_id those texts that lead a
+    group, each once; rows of null doc_id stay."""
+    text = runtime.free_name("text_hash", docs.columns)
+    marked = docs.withColumn(text, F.xxhash64("text"))
+    found = simhash.near_copies(marked, SHINGLE, keep=("doc_id", text))
+    kept = found.where("doc_id = component_id").select("doc_id", text).distinct()
+    named = marked.where("doc_id is not null").join(kept, ["doc_id", text], "left_semi").dropDuplicates(["doc_id", text])
+    return named.unionByName(marked.where("doc_id is null")).select(*[F.col(runtime.quoted(c)) for c in docs.columns])
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
