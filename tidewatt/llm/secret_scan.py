@@ -43,7 +43,11 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _HEX_LONG = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _HEX_ANY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-_PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8}|[A-Za-z]{1,2}[0-9]{1,4}")
+_NO_LETTER = re.compile(r"[^A-Za-z]+").fullmatch
+_PARTS = re.compile(r"[^-_/=+]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
+#: Letters from which a piece of a name can be told to be a word.
+MIN_WORD = 4
 
 
 def vocabulary(path: str, pattern: str):
@@ -58,14 +62,36 @@ def vocabulary(path: str, pattern: str):
 
 
 def known(run: str, encode, most: float = MAX_EFFICIENCY) -> bool:
-    """A digest, a UUID, or an identifier made of numbers and of words that ``encode`` cuts into long tokens."""
+    """A digest, a UUID, or a name: parts that are numbers, or words that ``encode`` cuts into long tokens.
+
+    Every word (camel case starts a new one) of ``MIN_WORD`` letters or more has to be one by itself, and
+    shorter ones may only be a third of the letters, beside digits of a number or a version.
+    """
     if len(run) in DIGESTS and _HEX_ANY.fullmatch(run) or _UUID.fullmatch(run):
         return True
-    parts = [p for p in re.split(r"[-_/=+]+", run) if p]
-    words = re.findall(r"[A-Za-z]+", run)
-    if sum(map(len, words)) < most * sum(len(encode(w)) for w in words):
-        return False
-    return all(p.isalpha() or p.isdigit() for p in parts) or all(len(x) >= 4 or x.isdigit() for p in parts for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", p)) and all(_PART.match(p) for p in parts)
+    letters = short = 0
+    for part in _PARTS.findall(run):
+        if part.isdigit():
+            continue
+        words = _WORD.findall(part)
+        own = sum(map(len, words))
+        if own < len(part) and len(words) > 1 + part[-1].isdigit() and min(map(len, words)) < MIN_WORD:
+            return False  # digits between short scraps of letters
+        for word in words:
+            letters += len(word)
+            if len(word) < MIN_WORD:
+                short += 0 if len(words) == 1 else len(word)
+            elif len(word) < most * len(encode(word)):
+                return False
+    return 3 * short <= letters
+
+
+def badly_encoded(run: str, encode, most: float = MAX_EFFICIENCY) -> bool:
+    """Whether the run, or what is left of it without its numbers, has fewer characters a token than ``most``."""
+    if len(run) < most * len(encode(run)):
+        return True
+    parts = [p for p in _PARTS.findall(run) if not p.isdigit()]
+    return MIN_RUN <= sum(map(len, parts)) < most * sum(len(encode(p)) for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,31 +105,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, encode, taken: list[tuple[int, int, int]], most: float = MAX_EFFICIENCY) -> list[tuple[int, int, int]]:
-    """Runs outside ``taken`` that the vocabulary encodes badly."""
+    """Runs outside ``taken`` (sorted by start) that the vocabulary encodes badly. One pass over both lists."""
     out = []
+    merged: list[list[int]] = []  # taken spans as intervals that do not overlap
+    for start, _, end in taken:
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    place = 0
     for m in _RUN.finditer(text):
+        start, end = m.span()
+        while place < len(merged) and merged[place][1] <= start:
+            place += 1
         if known(m.group(), encode, most):
             continue
-        for start, end in _outside(m.start(), m.end(), taken):
-            run = text[start:end]
-            if len(run) < MIN_RUN or not any(c.isalpha() for c in run) or known(run, encode, most):
-                continue
-            if len(run) / len(encode(run)) < most:
-                out.append((start, 3, end))
+        k, at = place, start
+        while at < end:
+            a, b = merged[k] if k < len(merged) and merged[k][0] < end else (end, end)
+            run = text[at:a]
+            if len(run) >= MIN_RUN and not _NO_LETTER(run) and (run == m.group() or not known(run, encode, most)) and badly_encoded(run, encode, most):
+                out.append((at, 3, a))
+            at, k = max(at, b), k + 1
     return out
 
 
-def _outside(start: int, end: int, taken: list[tuple[int, int, int]]):
-    """The parts of start..end that no span of ``taken`` (sorted by start) covers."""
-    for a, _, b in taken:
-        if b > start and a < end:
-            if a > start:
-                yield start, a
-            start = max(start, b)
-    if start < end:
-        yield start, end
-
-
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
