@@ -7,7 +7,9 @@ many documents there are. It is made on the driver in four steps:
    length is rounded up to the largest of its group: few sizes remain;
 2. the fewest sequences for these sizes: the linear program over configurations (how many
    pieces of each size share a sequence) by column generation, counts rounded down;
-3. actual pieces take the slots of their group, which frees what rounding up had added;
+3. actual pieces take the slots: the longest left that is no longer than the slot's size, and
+   in a sequence's last slot the longest that fits, which uses up what rounding up had added
+   (what is left over is never longer than planned);
 4. everything else, longest first, goes where it leaves the least room (best fit), into a
    new sequence only if no room is left.
 
@@ -84,8 +86,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, settings: tuple = SETTINGS) -> tuple[np.ndarray, int]:
-    """The scheme under each setting; the result with the fewest sequences."""
-    return min((grouping(histogram, capacity, *x) for x in settings), key=lambda x: x[1])
+    """The scheme under each setting, until one needs no more sequences than the tokens fill; the result with the fewest."""
+    least = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    best = None
+    for setting in settings:
+        found = grouping(histogram, capacity, *setting)
+        if best is None or found[1] < best[1]:
+            best = found
+        if best[1] == least:
+            break
+    return best
 
 
 def grouping(histogram: dict[int, int], capacity: int, groups: int, long_share: float) -> tuple[np.ndarray, int]:
@@ -106,48 +116,51 @@ def grouping(histogram: dict[int, int], capacity: int, groups: int, long_share:
 
     longs = sorted((s for s in left if s > capacity * long_share and s < capacity), reverse=True)
     total = sum(left[s] for s in longs)
-    grouped: list[list[list[int]]] = []  # per group: [length, pieces], longest first
+    demand: dict[int, int] = defaultdict(int)  # rounded size -> pieces; groups of one size are one
     if total:
         each = -(-total // groups)
-        space = 0
+        size = space = 0
         for s in longs:
             n = left[s]
             while n:
                 if not space:
-                    grouped.append([])
-                    space = each
+                    size, space = s, each
                 m = min(n, space)
-                grouped[-1].append([s, m])
+                demand[size] += m
                 n, space = n - m, space - m
-    merged: dict[int, list[list[int]]] = {}
-    for group in grouped:  # groups of one rounded size are one
-        merged.setdefault(group[0][0], []).extend(group)
-    sizes = list(merged)
-    demand = [sum(n for _, n in merged[s]) for s in sizes]
-    for counts, times in configurations(sizes, demand, capacity):
-        copies = int(times + 1e-6)
-        if not copies:
-            continue
-        runs = [(sequences, copies, 0)]  # (first sequence, sequences alike, tokens used)
-        sequences += copies
-        for g in (g for g, c in enumerate(counts) for _ in range(round(c))):
-            queue = merged[sizes[g]]
+    sizes = list(demand)
+    free = sorted(s for s in left if s < capacity)  # lengths of which pieces are left
+
+    def take(limit: int, run: tuple[int, int, int]) -> tuple[int, int, int] | None:
+        """Put the longest piece up to ``limit`` into as many sequences of the run as there are such pieces."""
+        at = bisect.bisect_right(free, limit) - 1
+        if at < 0:
+            return None
+        first, count, used = run
+        length = free[at]
+        n = min(count, left[length])
+        put(length, first, n, used)
+        if not left[length]:
+            del free[at]
+        return first, n, used + length
+
+    for counts, times in configurations(sizes, list(demand.values()), capacity):
+        slots = [sizes[g] for g, c in enumerate(counts) for _ in range(round(c))]
+        runs = [(sequences, int(times + 1e-6), 0)]  # (first sequence, sequences alike, tokens used)
+        for k, slot in enumerate(slots):
             then: list[tuple[int, int, int]] = []
             for first, count, used in runs:
-                while count and queue:
-                    length, waiting = queue[0]
-                    n = min(count, waiting)
-                    put(length, first, n, used)
-                    then.append((first, n, used + length))
-                    first, count = first + n, count - n
-                    if n == waiting:
-                        queue.pop(0)
-                    else:
-                        queue[0][1] -= n
-                if count:
+                while count:
+                    done = take(capacity - used if k == len(slots) - 1 else slot, (first, count, used))
+                    if done is None:
+                        break
+                    then.append(done)
+                    first, count = first + done[1], count - done[1]
+                if count and used:
                     then.append((first, count, used))
             runs = then
         for first, count, used in runs:
+            sequences = max(sequences, first + count)
             room[capacity - used].append((first, count))
     # step 4: best fit of the rest, longest first
     known = sorted(r for r in room if r > 0)
