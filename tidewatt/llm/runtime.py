@@ -60,6 +60,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """Tasks for a shuffle of whole rows of ``df``: the session's number, more if Spark's estimate of the size asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(-(-size // each), 1 << 20))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -154,11 +154,23 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def publish(system, temp: str, target: str) -> None:
+    """Rename a finished file, on systems too whose rename does not replace."""
+    found = system.get_file_info(target)
+    if found.is_file and found.size == system.get_file_info(temp).size:
+        system.delete_file(temp)
+        return
+    if found.is_file:
+        system.delete_file(target)
+    system.move(temp, target)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> list[dict]:
     """Encode and store ``docs`` in ascending doc_id order; returns the manifest, a row a shard.
 
-    One range shuffle. A shard is written under a name of the attempt and then renamed,
-    so a repeated or speculative task replaces it by the same bytes.
+    One range shuffle. A shard is written under a name of the attempt and then renamed. If an earlier
+    or speculative attempt of the task has left a shard of that size, the file stays as it is: attempts write
+    the same bytes. What an attempt that fails has written goes with it.
     """
 
     def run(batches):
@@ -175,28 +187,37 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
         def done():
             writer.close()
             name = f"shard-{part:07d}-{shard:04d}.twt"
-            system.move(temp, f"{base}/{name}")
+            publish(system, temp, f"{base}/{name}")
             ids = writer.docs
             return {"name": name, "part": part, "shard": shard, "first_doc": ids[0], "n_docs": len(ids), "n_ids": writer.n_ids}
 
         rows = []
-        for batch in batches:
-            for piece in runtime.slices(batch, 1):
-                for doc, raw in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    if writer is None:
-                        temp = f"{base}/_{part}-{shard}-{uuid.uuid4().hex}"
-                        writer = ShardWriter(system.open_output_stream(temp), encoder.vocabulary)
-                    writer.add(doc, np.concatenate([np.frombuffer(raw, "<u4"), end]))
-                    if writer.n_ids >= shard_ids:
-                        rows.append(done())
-                        writer, shard = None, shard + 1
-        if writer is not None:
-            rows.append(done())
+        try:
+            for batch in batches:
+                for piece in runtime.slices(batch, 1):
+                    for doc, raw in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+                        if writer is None:
+                            temp = f"{base}/_{part}-{shard}-{uuid.uuid4().hex}"
+                            writer = ShardWriter(system.open_output_stream(temp), encoder.vocabulary)
+                        writer.add(doc, np.concatenate([np.frombuffer(raw, "<u4"), end]))
+                        if writer.n_ids >= shard_ids:
+                            rows.append(done())
+                            writer, shard = None, shard + 1
+            if writer is not None:
+                rows.append(done())
+                writer = None
+        except BaseException:
+            if writer is not None:
+                writer.sink.close()
+                if system.get_file_info(temp).is_file:
+                    system.delete_file(temp)
+            raise
+        runtime.give_back()
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("shard", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    n = runtime.shuffle_partitions(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    picked = docs.select("doc_id", "text")
+    ordered = picked.repartitionByRange(runtime.tasks_for(picked), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = ordered.mapInArrow(run, "name string, part long, shard long, first_doc long, n_docs long, n_ids long").collect()
     rows = sorted((r.asDict() for r in manifest), key=lambda r: (r["part"], r["shard"]))
     start = 0
