@@ -144,9 +144,9 @@ def grouping(histogram: dict[int, int], capacity: int, groups: int, long_share:
             del free[at]
         return first, n, used + length
 
-    for counts, times in configurations(sizes, list(demand.values()), capacity):
-        slots = [sizes[g] for g, c in enumerate(counts) for _ in range(round(c))]
-        runs = [(sequences, int(times + 1e-6), 0)]  # (first sequence, sequences alike, tokens used)
+    chosen = [([sizes[g] for g, c in enumerate(counts) for _ in range(round(c))], int(times + 1e-6)) for counts, times in configurations(sizes, list(demand.values()), capacity)]
+    for slots, copies in sorted(chosen, reverse=True):  # the longest first, as their last slots are the hardest to fill
+        runs = [(sequences, copies, 0)]  # (first sequence, sequences alike, tokens used)
         for k, slot in enumerate(slots):
             then: list[tuple[int, int, int]] = []
             for first, count, used in runs:
@@ -213,6 +213,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                         seen[n] += 1
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+        runtime.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long")
 
