@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every round is a pair of key aggregations (with partial sums before the shuffle) and joins
-on the same key, so a hub's edges are never gathered in one task, and each round's edges are
-a written table. Nothing but two numbers a round comes to the driver.
+Every round is a pair of key aggregations (with partial minima before the shuffle) and joins on
+the same key. A join's tasks stream a node's edges and hold one row a node; a hub's edges meet in
+one task unless Spark's adaptive skew join splits them. Each round's edges are a written table.
+Nothing but two numbers a round comes to the driver.
 """
 
 from __future__ import annotations

@@ -196,6 +196,7 @@ def _judge(docs: DataFrame, model: str, keep: list[str], text: str = "text", lan
             for part in runtime.slices(batch, width):
                 out = kernel(part.column(width).to_pylist(), part.column(width + 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in range(width)] + [pa.array(x, type=t) for x, t in zip(out, types[width:], strict=True)], names=names)
+        runtime.give_back()
 
     return picked.mapInArrow(run, schema)
 

@@ -455,12 +455,19 @@ def copy_links(classes: DataFrame, rows: int | None = None, reach: int = REACH)
     return _links(keyed, n * len(places), CHECK_WORDS, reach)
 
 
+#: Parts that the members of a component are dealt to when they look up its smallest document.
+SALTS = 16
+
+
 def _rooted(classes: DataFrame, edges: DataFrame, node: str, own: list[str]) -> DataFrame:
     """``own`` columns of the classes and component_id, the smallest ``first`` of the component."""
-    parts = connected_components(edges).withColumnRenamed("node", node)
-    rooted = classes.join(parts, node, "left").select(*own, "first", F.coalesce("component", node).alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(smallest, "root").select(*own, "component_id")
+    found = classes.join(connected_components(edges).withColumnRenamed("node", node), node, "left")
+    alone = found.where("component is null").select(*own, F.col("first").alias("component_id"))
+    linked = found.where("component is not null")
+    smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    dealt = smallest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")).join(dealt, ["component", "salt"])
+    return named.select(*own, "component_id").unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, max_diff: int = MAX_DIFF, shingle: int = SHINGLE) -> DataFrame:
