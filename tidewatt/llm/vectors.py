@@ -1,10 +1,11 @@
 """Embedding near-duplicates: int8 tile products with rigorous error bounds, exact links.
 
 * equal vectors are one class with a count, so copies are never multiplied;
-* classes are ordered by grid cells of their leading principal axes (fitted on a bounded
-  sample; the axes decide the order only, never a link) and cut into tiles; vectors with a
-  cosine of at least t differ by at most sqrt(2 - 2t) on any axis, so pairs of tiles whose
-  boxes lie further apart are dropped;
+* classes are ordered by grid cells of their leading principal axes (fitted on a bounded sample
+  for the ``FITTED`` most frequent lengths, fixed orthogonal ones for others; the axes decide the
+  order only, never a link) and cut into tiles; vectors with a cosine of at least t differ by at
+  most sqrt(2 - 2t) along orthogonal axes, so pairs of tiles whose boxes lie further apart are
+  dropped, in a join of the tiles' boxes;
 * a tile is quantised to int8 with one scale; a vector x = sq + r has |r| = e known exactly,
   and <x, y> differs from the int8 product by at most e_x|s q_y| + |s q_x|e_y + e_x e_y.
   Only pairs that this bound leaves at or above the threshold are computed in double precision;
@@ -32,6 +33,9 @@ TILE = 2048
 #: Vectors from which the axes of the order are fitted.
 SAMPLE = 4096
 AXES = 16
+FITTED = 8
+#: Tiles whose boxes a task of the join of boxes holds against all others.
+_BOXES = 512
 _TASK_BYTES = 16 << 20
 
 
@@ -80,6 +84,16 @@ def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     return axes[:, ::-1][:, :AXES]
 
 
+def _axes_of(axes: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    found = axes.get(dim)
+    return _fixed_axes(dim) if found is None else found
+
+
+def _fixed_axes(dim: int) -> np.ndarray:
+    """Orthogonal unit axes that depend on the length alone."""
+    return np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, min(dim, AXES))))[0]
+
+
 def _cells(axes: dict[int, np.ndarray], width: float):
     """(size, cell, first, n, vector bytes): the order key is the cell of the leading axes."""
 
@@ -89,7 +103,7 @@ def _cells(axes: dict[int, np.ndarray], width: float):
             for dim in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == dim))
                 x = np.array(part.column("vector").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-                along = np.floor(_unit(x) @ axes[dim][:, :8] / width).astype(np.int64)
+                along = np.floor(_unit(x) @ _axes_of(axes, dim)[:, :8] / width).astype(np.int64)
                 cell = np.zeros(len(x), np.int64)
                 for k in range(along.shape[1]):
                     cell = cell * 64 + np.clip(along[:, k] + 32, 0, 63)
@@ -105,14 +119,15 @@ def _tiles(axes: dict[int, np.ndarray], tile: int):
         from pyspark import TaskContext
 
         part, made, held = TaskContext.get().partitionId(), 0, []
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        box = pa.list_(pa.float64())
+        types = [pa.int64(), pa.int64(), pa.int64(), box, box, pa.binary(), pa.binary(), pa.binary()]
 
         def emit(table: pa.Table):
             nonlocal made
             dim = table.column("dim")[0].as_py()
             x = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float64).reshape(-1, dim)
-            along = _unit(x) @ axes[dim]
-            row = [part << 24 | made, dim, len(x), along.min(axis=0).tobytes(), along.max(axis=0).tobytes(), table.column("first").to_numpy().tobytes(), table.column("n").to_numpy().tobytes(), x.astype("<f8").tobytes()]
+            along = _unit(x) @ _axes_of(axes, dim)
+            row = [part << 24 | made, dim, len(x), along.min(axis=0).tolist(), along.max(axis=0).tolist(), table.column("first").to_numpy().tobytes(), table.column("n").to_numpy().tobytes(), x.astype("<f8").tobytes()]
             made += 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["tile", "dim", "n", "low", "high", "ids", "weights", "matrix"])
 
@@ -137,24 +152,21 @@ def _tiles(axes: dict[int, np.ndarray], tile: int):
     return run
 
 
-def tile_pairs(tiles: list, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of tiles (from their boxes) that can hold a link, each tile with itself included."""
-    reach = 2 - 2 * threshold + 1e-9
-    out = []
-    for dim in sorted({t["dim"] for t in tiles}):
-        own = [t for t in tiles if t["dim"] == dim]
-        ids = np.array([t["tile"] for t in own])
-        low = np.array([np.frombuffer(t["low"]) for t in own])
-        high = np.array([np.frombuffer(t["high"]) for t in own])
-        for k in range(len(own)):
-            gap = np.maximum(0, np.maximum(low[k:] - high[k], low[k] - high[k:]))
-            near = np.flatnonzero((gap * gap).sum(axis=1) <= reach) + k
-            out += [(int(ids[k]), int(j)) for j in ids[near]]
-    return out
+def tile_pairs(tiles: DataFrame, threshold: float, count: int) -> DataFrame:
+    """(a, b): pairs of ``tiles(tile, dim, low, high)`` that can hold a link by their boxes, each tile with itself
+    included. Boxes are dealt to parts of ``_BOXES``, so that no task holds all pairs of a length."""
+    salts = max(1, -(-count // _BOXES))
+    left = tiles.select("dim", F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.pmod(F.xxhash64("tile"), F.lit(salts)).cast("int").alias("salt"))
+    right = tiles.select("dim", F.col("tile").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    # Along each axis: the space between the two intervals, if any.
+    after = F.zip_with("low_b", "high_a", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    before = F.zip_with("low_a", "high_b", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    gap = F.aggregate(F.zip_with(after, before, lambda x, y: (x + y) * (x + y)), F.lit(0.0), lambda s, x: s + x)
+    return left.join(right, ["dim", "salt"]).where((F.col("a") <= F.col("b")) & (gap <= 2 - 2 * threshold + 1e-9)).select("a", "b")
 
 
 def _compare(threshold: float):
-    """Rows (pair, side, ...) sorted by pair to rows (id, links) and edges (u, v)."""
+    """Rows (a, b, side, ...) sorted by pair to rows (id, links) and edges (u, v)."""
 
     def load(row):
         x = _unit(np.frombuffer(row["matrix"], "<f8").reshape(-1, row["dim"]))
@@ -207,34 +219,31 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     usable = base.where(F.col("vec_id").isNotNull() & _valid(F.col("vector")))
     classes, _ = runtime.materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")), "vector-classes")
-    dims = [r[0] for r in classes.select(F.size("vector").alias("d")).distinct().limit(1000).collect()]
-    if len(dims) == 1000:
-        raise ValueError("a thousand different vector lengths: not a table of embeddings")
+    dims = [r[0] for r in classes.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(FITTED).collect()]
     axes = {d: _axes(classes, d) for d in dims}
     width = float(np.sqrt(max(2 - 2 * threshold, 1e-6)))
     parts = runtime.shuffle_partitions(spark)
-    rows = sum(r[0] for r in classes.select(F.count("*")).collect())
+    rows = classes.count()
     cells = classes.mapInArrow(_cells(axes, width), "dim long, cell long, first long, n long, raw binary")
-    ordered = cells.repartitionByRange(max(1, min(parts, -(-rows // (2 * tile)))), "dim", "cell", F.xxhash64("raw")).sortWithinPartitions("dim", "cell")
-    cut = ordered.mapInArrow(_tiles(axes, tile), "tile long, dim long, n long, low binary, high binary, ids binary, weights binary, matrix binary")
+    # few enough parts for whole tiles, and as many as keep a part to a task's bytes
+    wide = max(parts, -(-rows * max(dims, default=1) * 8 // _TASK_BYTES))
+    ordered = cells.repartitionByRange(max(1, min(wide, -(-rows // (2 * tile)))), "dim", "cell", F.xxhash64("raw")).sortWithinPartitions("dim", "cell")
+    cut = ordered.mapInArrow(_tiles(axes, tile), "tile long, dim long, n long, low array<double>, high array<double>, ids binary, weights binary, matrix binary")
     tiles, _ = runtime.materialize(cut, "tiles")
-    summary = [r.asDict() for r in tiles.select("tile", "dim", "n", "low", "high").collect()]  # a row a tile: 1/2048 of the vectors
-    pairs = tile_pairs(summary, threshold)
-    if pairs:
-        sides = [(k, 0, a, a == b) for k, (a, b) in enumerate(pairs)] + [(k, 1, b, False) for k, (a, b) in enumerate(pairs) if a != b]
-        table = spark.createDataFrame(sides, "pair long, side int, tile long, alone boolean")
-        size = max(s["n"] * s["dim"] * 8 for s in summary)
-        tasks = max(parts, -(-len(sides) * size // _TASK_BYTES))
-        dealt = table.join(tiles.select("tile", "dim", "ids", "weights", "matrix"), "tile").repartition(tasks, "pair").sortWithinPartitions("pair", "side")
-        found, _ = runtime.materialize(dealt.drop("tile", "side").mapInArrow(_compare(threshold), "id long, links long, least long"), "vector-links")
-    else:
-        found = spark.createDataFrame([], "id long, links long, least long")
+    n_tiles, size = tiles.agg(F.count("*"), F.coalesce(F.max(F.col("n") * F.col("dim") * 8), F.lit(0))).first()
+    pairs, _ = runtime.materialize(tile_pairs(tiles.select("tile", "dim", "low", "high"), threshold, n_tiles), "tile-pairs")
+    alone = F.col("a") == F.col("b")
+    sides = pairs.select("a", "b", alone.alias("alone"), F.explode(F.when(alone, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
+    tasks = max(1, parts if n_tiles else 1, -(-2 * pairs.count() * size // _TASK_BYTES))
+    dealt = sides.join(tiles.select("tile", "dim", "ids", "weights", "matrix"), "tile").repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "side")
+    found, _ = runtime.materialize(dealt.select("alone", "dim", "ids", "weights", "matrix").mapInArrow(_compare(threshold), "id long, links long, least long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts_of = connected_components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
     named = (classes.join(counts, F.col("first") == F.col("id"), "left").drop("id")
              .join(parts_of, F.col("first") == F.col("node"), "left")
              .select("vector", F.coalesce("component", "first").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")))
-    keyed = base.withColumn("key", F.when(F.col("vec_id").isNotNull() & _valid(F.col("vector")), F.col("vector")))
-    out = keyed.join(named.withColumnRenamed("vector", "key"), "key", "left")
+    good = F.col("vec_id").isNotNull() & _valid(F.col("vector"))
+    out = base.where(good).join(named, "vector", "left").unionByName(base.where(~F.coalesce(good, F.lit(False))).select("vector", "vec_id", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("links")))
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
