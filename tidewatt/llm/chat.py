@@ -72,28 +72,43 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         _rendered(r).alias("rejected"), _spans(c).alias("chosen_mask"), _spans(r).alias("rejected_mask"))
 
 
-def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs of a table of independent conversations: 2k is chosen, 2k + 1 rejected."""
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    found = turns.where("conv_id is not null").groupBy(pair.alias("pair_id")).agg(F.min("conv_id").alias("a"), F.max("conv_id").alias("b"))
-    return found.where("a < b").select("pair_id", F.col("a").alias("chosen_id"), F.col("b").alias("rejected_id"))
+def with_other_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Preference data from a table of independent conversations: (turns, pairs) for ``format_preferences``.
+
+    Conversation c is the chosen side 2c of pair c; the rejected side 2c + 1 is c with the last answer of
+    conversation c + 1 in place of its own last one, so both share what comes before. An answer is the greatest
+    text of the scored role in the last turn that has one; conversations without one, and those that none
+    follows, make no pair.
+    """
+    rows = turns.where("conv_id is not null").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(_FIRST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    answers = rows.where(F.col("role") == SCORED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("answer"))
+    own = answers.select("conv_id", F.col("answer.turn").alias("last"))
+    following = answers.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer.text").alias("other"))
+    both = own.join(following, "conv_id")
+    dealt = rows.join(both, "conv_id")
+    replaced = F.when((F.col("turn") == F.col("last")) & (F.col("role") == SCORED_ROLE), F.col("other")).otherwise(F.col("text"))
+    sides = F.explode(F.array(F.struct((2 * F.col("conv_id")).alias("conv_id"), F.col("text").alias("text")), F.struct((2 * F.col("conv_id") + 1).alias("conv_id"), replaced.alias("text")))).alias("side")
+    out = dealt.select("turn", "role", sides).select("side.conv_id", "turn", "role", "side.text")
+    return out, both.select(F.col("conv_id").alias("pair_id"), (2 * F.col("conv_id")).alias("chosen_id"), (2 * F.col("conv_id") + 1).alias("rejected_id"))
 
 
 ORACLE = """
-WITH t AS (SELECT conv_id, coalesce(CAST(turn AS BIGINT), -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                  CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id FROM conversations WHERE conv_id IS NOT NULL),
-p AS (SELECT pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM t GROUP BY 1 HAVING min(conv_id) < max(conv_id)),
-d AS (SELECT p.pair_id, chosen_id, rejected_id, turn, role, text, t.conv_id = chosen_id AS is_chosen FROM t JOIN p ON t.pair_id = p.pair_id),
+WITH r AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(CAST(turn AS BIGINT), -9223372036854775808) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS place FROM r WHERE role = 'assistant') WHERE place = 1),
+b AS (SELECT l.conv_id AS pair_id, l.turn AS last, n.text AS other FROM l JOIN l n ON n.conv_id = l.conv_id + 1),
+d AS (SELECT pair_id, turn, role, text, true AS is_chosen FROM r JOIN b ON r.conv_id = b.pair_id
+  UNION ALL SELECT pair_id, turn, role, CASE WHEN turn = last AND role = 'assistant' THEN other ELSE text END, false FROM r JOIN b ON r.conv_id = b.pair_id),
 u AS (SELECT pair_id, turn FROM d GROUP BY pair_id, turn, role, text HAVING sum(CASE WHEN is_chosen THEN 1 ELSE -1 END) <> 0),
 f AS (SELECT pair_id, min(turn) AS first FROM u GROUP BY 1),
 m AS (SELECT d.*, first IS NULL OR turn < first AS shared, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS part,
              13 + length(role) AS head, length(text) + 10 AS body FROM d LEFT JOIN f USING (pair_id)),
 o AS (SELECT *, sum(head + body + 1) OVER (PARTITION BY pair_id, is_chosen, shared ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - body - 1 AS a FROM m)
-SELECT pair_id, chosen_id, rejected_id, CAST(count(*) FILTER (shared AND is_chosen) AS BIGINT) AS n_prefix,
+SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id, CAST(count(*) FILTER (shared AND is_chosen) AS BIGINT) AS n_prefix,
   coalesce(string_agg(part, '' ORDER BY turn, role, text) FILTER (shared AND is_chosen), '') AS prompt,
   coalesce(string_agg(part, '' ORDER BY turn, role, text) FILTER (NOT shared AND is_chosen), '') AS chosen,
   coalesce(string_agg(part, '' ORDER BY turn, role, text) FILTER (NOT shared AND NOT is_chosen), '') AS rejected,
   coalesce(string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + body AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (NOT shared AND is_chosen AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + body AS BIGINT) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (NOT shared AND NOT is_chosen AND role = 'assistant'), '') AS rejected_mask
-FROM o GROUP BY pair_id, chosen_id, rejected_id
+FROM o GROUP BY pair_id
 """

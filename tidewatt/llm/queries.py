@@ -38,7 +38,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
-    return chat.format_preferences(turns, chat.neighbour_pairs(turns))
+    return chat.format_preferences(*chat.with_other_answers(turns))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
