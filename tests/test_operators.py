@@ -237,3 +237,17 @@ def test_breakdowns_follow_a_vehicle_over_midnight(spark):
             want[y[1]] += x[3] >= 50 > y[3]
     got = fleet.breakdowns(spark.createDataFrame(rows, "vehicle long, fleet string, ts long, value double, seq long"), 50).collect()
     assert {r["fleet"]: r["breakdowns"] for r in got} == want
+
+
+def test_long_chains_and_cycles(spark):
+    """Single references by jumping pointers, several by peeling; chains are never too long."""
+    n = 300
+    chain = [(k, k - 1) for k in range(1, n)]
+    nodes = spark.range(-5, n + 50).select("id")
+    found = C.cycles(spark.createDataFrame(chain, "id long, ref long"), nodes, "r")
+    assert found.count() == 0
+    ring = [(n + k, n + (k + 1) % 5) for k in range(5)] + [(n + 10 + k, n + 9 + k) for k in range(1, 5)] + [(n + 10, n)]
+    want = {str(a) for a, _ in ring}
+    assert {r["object"] for r in C.cycles(spark.createDataFrame(chain + ring, "id long, ref long"), nodes, "r").collect()} == want
+    short = [(k, k - 1) for k in range(1, 20)]
+    assert {r["object"] for r in C.cycles(spark.createDataFrame([*short, *ring, (n, 5)], "id long, ref long"), nodes, "r").collect()} == want

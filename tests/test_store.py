@@ -5,6 +5,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatt import cli, schemas as S, sql
 from tidewatt.errors import (
@@ -175,6 +176,108 @@ def test_backup_restore_salvage_sweep(spark, root, tmp_path):
         assert saved.points().count() == 1 and saved.catalog()["series"].count() == 1
 
 
+def batch(spark, source, sequence, commit, values):
+    return Transaction().with_ingress_identity(source, sequence, S.hex_id(commit)).append_points(rows(spark, values))
+
+
+def test_salvage_is_a_prefix_of_commits(spark, root, tmp_path):
+    """Points, receipts and watermarks end at the same commit: what was lost is accepted when it is sent again."""
+    with EngineStore.open(spark, root) as store:
+        store.commit(definitions())
+        for k in (1, 2):
+            store.commit(batch(spark, A, k, k, [(k * SEC, k)]))
+        store.seal()
+        for k in (3, 4, 5):
+            store.commit(batch(spark, A, k, k, [(k * SEC, k)]))
+        store.commit(Transaction().with_commit_id(S.hex_id(50)).upsert("entities", {"id": S.hex_id(2), "kind": "late", "name": "b", "valid_from": 0}))
+        sealed, live = store.manifest["points"][0], store.manifest["points"][2]
+        assert sealed["sealed"] and (sealed["first"], sealed["commit"]) == (2, 3)
+
+    def spoil(path):
+        for f in (tmp_path / "store" / path).rglob("*"):
+            if f.suffix == ".parquet":
+                f.write_bytes(b"PAR1 nothing PAR1")
+            elif f.suffix == ".crc":
+                f.unlink()
+
+    assert salvage_from(spark, root, f"file://{tmp_path}/whole")["complete"]
+    with EngineStore.open(spark, f"file://{tmp_path}/whole") as whole:
+        assert whole.points().count() == 5 and whole.watermarks(A) == {"accepted": 5, "durable": 5} and whole.catalog()["entities"].count() == 2
+        assert whole.commit(batch(spark, A, 5, 5, [(5 * SEC, 5)])).deduplicated
+    spoil(live["path"])
+    report = salvage_from(spark, root, f"file://{tmp_path}/saved")
+    assert not report["complete"] and report["points"] == 3
+    with EngineStore.open(spark, f"file://{tmp_path}/saved") as saved:
+        assert saved.points().count() == 3 and saved.watermarks(A) == {"accepted": 3, "durable": 3} and saved.commits().count() == 3 and saved.catalog()["entities"].count() == 1
+        for k in (4, 5):
+            assert not saved.commit(batch(spark, A, k, k, [(k * SEC, k)])).deduplicated
+        assert saved.points().count() == 5 and saved.check_integrity()["ok"]
+    spoil(sealed["path"])
+    report = salvage_from(spark, root, f"file://{tmp_path}/little")
+    with EngineStore.open(spark, f"file://{tmp_path}/little") as little:
+        assert little.points().count() == 0 and little.watermarks(A) is None and little.catalog()["series"].count() == 1
+        assert not little.commit(batch(spark, A, 1, 1, [(SEC, 1)])).deduplicated
+
+
+def test_logs_stay_few(spark, root, monkeypatch):
+    """Receipts are merged level by level; every one is still found."""
+    from tidewatt import store as module
+
+    monkeypatch.setattr(module, "MERGE_LOGS", 3)
+    with EngineStore.open(spark, root) as store:
+        for k in range(1, 11):
+            store.commit(Transaction().with_commit_id(S.hex_id(100 + k)).upsert("entities", {"id": S.hex_id(k), "kind": "site", "name": "a", "valid_from": 0}))
+        assert len(store.manifest["commits"]) == 2 and len(store.manifest["catalog"]["entities"]) == 2
+        assert store.commits().count() == 10 and store.catalog()["entities"].count() == 10 and store.contains_commit(S.hex_id(104))
+        store.sweep()
+        assert store.commits().count() == 10
+
+
+def test_order_of_points_without_numbers(spark, root):
+    same = [(1, 5, 5, 5, 5, S.ZERO_ID, float(v), 0, 0) for v in (3, 9, 4)]
+    points = spark.createDataFrame(same, "series_id long, valid_time long, valid_time_end long, knowledge_time long, change_time long, run_id string, value double, quality int, flags int")
+    with EngineStore.open(spark, root) as store:
+        store.commit(definitions())
+        store.commit(Transaction().append_points(points))  # the last of a transaction wins
+        assert [r["value"] for r in store.latest().collect()] == [4.0]
+        store.append(points.repartition(3))  # a load without numbers: the greatest
+        assert [r["value"] for r in store.latest().collect()] == [9.0] and store.points().select("append_seq").distinct().count() == 6
+
+
+def test_maintain_reads_only_what_it_needs(spark, root):
+    from unittest.mock import patch
+
+    with EngineStore.open(spark, root) as store:
+        store.commit(definitions())
+        store.append(rows(spark, [(k * DAY // 4, k) for k in range(40)]))
+        assert store.maintain(9 * DAY + 5)["built"] > 0
+        with patch.object(EngineStore, "points", side_effect=AssertionError("read")):
+            assert store.maintain(9 * DAY + 6)["built"] == 0
+        store.append(rows(spark, [(12 * DAY, 1)]))
+        seen = []
+        build = U.build
+        with patch.object(U, "build", side_effect=lambda df, *rest: (seen.append(df._jdf.queryExecution().executedPlan().toString()), build(df, *rest))[1]):
+            assert store.maintain(20 * DAY)["built"] > 0
+        assert seen and "PartitionFilters: [isnotnull(valid_day" in seen[0]
+
+
+def test_checksums_see_equal_rows(spark):
+    from tidewatt.operators.rollup import bucket_checksum, point_checksum
+
+    one, three = rows(spark, [(1, 1)]), rows(spark, [(1, 1)] * 3)
+    assert point_checksum(one).first()["checksum"] != point_checksum(three).first()["checksum"]
+    buckets = U.build(R.winners(one), FIVE, 2 * SEC)
+    assert bucket_checksum(buckets).first()["checksum"] != bucket_checksum(buckets.unionByName(buckets).unionByName(buckets)).first()["checksum"]
+
+
+def test_many_spans(spark):
+    from tidewatt import store as module
+
+    table = spark.range(1000).select(F.col("id").alias("bucket_start"), (F.col("id") + 1).alias("bucket_end"))
+    spans = [(k, k + 2) for k in range(0, 1000, 10)]
+    assert len(spans) > module.MAX_ARMS and module._within(table, spans).count() == 200 == sum(module._within(table, spans[a : a + 50]).count() for a in (0, 50))
+
+
 def test_manifest_falls_back_to_the_last_whole_generation(spark, root, tmp_path):
     with EngineStore.open(spark, root) as store:
         store.append(rows(spark, [(1, 1)]))

@@ -11,11 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatt import schemas as S
-from tidewatt.errors import LimitError, ModelError
+from tidewatt.errors import ModelError
 from tidewatt.functions import blank, finite
 
-#: The longest chain of references that is followed.
-MAX_DEPTH = 10_000
 
 
 def lookup(table: DataFrame, object_id) -> DataFrame:
@@ -94,7 +92,7 @@ def reference_rules(children: dict[str, DataFrame], catalog: dict[str, DataFrame
     return found
 
 
-def levels(edges: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, level): longest chain of references below each node; -1 for nodes on or above a cycle.
 
     Peels: nodes whose references have all been placed get the next level. Each round is two
@@ -114,8 +112,6 @@ def levels(edges: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> Da
         left = _cut(left.join(ready, "id", "left_anti"))
         links = _cut(links.join(ready.select(F.col("id").alias("ref")), "ref", "left_anti"))
         level += 1
-        if level > max_depth:
-            raise LimitError(f"a chain of more than {max_depth} references")
     stuck = left.withColumn("level", F.lit(-1))
     return stuck if placed is None else placed.unionByName(stuck)
 
@@ -131,24 +127,26 @@ def _cut(df: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, nodes: DataFrame, rule: str) -> DataFrame:
     """Nodes that lie on a cycle of references or lead into one.
 
-    References to a node without references are dropped until nothing changes: one join and
-    one count a round, as many rounds as the longest chain.
+    Where a node has one reference at most, its pointer jumps to its reference's: after k rounds it has gone
+    2^k steps, so what still points somewhere after more steps than there are references never ends.
+    Otherwise references to a node without references are dropped until nothing changes. Rounds: the
+    logarithm of the number of references, or the longest chain; none is refused.
     """
     links = edges.select("id", "ref").where("ref is not null")
     if not links.isEmpty():
         links = _cut(links.distinct().join(nodes.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref"))
     left = links.count()
-    for _ in range(MAX_DEPTH):
-        if not left:
-            break
-        then = _cut(links.join(links.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref"))
-        now = then.count()
-        links = then
-        if now == left:
-            break
-        left = now
+    if left and links.groupBy("id").count().where("count > 1").isEmpty():
+        steps, most = 1, left
+        while left and steps <= most:
+            links = _cut(links.join(links.select(F.col("id").alias("ref"), F.col("ref").alias("then")), "ref").select("id", F.col("then").alias("ref")))
+            left, steps = links.count(), 2 * steps
     else:
-        raise LimitError(f"a chain of more than {MAX_DEPTH} references")
+        while left:
+            links = _cut(links.join(links.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("id", "ref"))
+            before, left = left, links.count()
+            if left == before:
+                break
     return links.select(F.lit(rule).alias("rule"), F.col("id").cast("string").alias("object")).distinct()
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.errors import InvalidArgument
-from tidewatt.functions import bucket_end, bucket_start, bucket_starts, floor_to
+from tidewatt.functions import bucket_end, bucket_start, bucket_starts, floor_to, value_bits
 from tidewatt.operators.aggregates import check_gap, counter, gauge_winners, with_next
 from tidewatt.operators.revisions import in_range
 from tidewatt.schemas import BUCKET_FIELDS, Resolution
@@ -115,11 +115,11 @@ def anchored_at_first(points: DataFrame, width: int) -> DataFrame:
 
 
 def bucket_checksum(buckets: DataFrame) -> DataFrame:
-    """One order-free checksum per series of eight bucket fields."""
+    """One order-free checksum per series of eight bucket fields: a sum of hashes, in which equal rows do not cancel."""
     fields = ["bucket_start", "bucket_end", "count", "sum", "min", "max", "integral", "covered"]
-    return buckets.groupBy("series_id").agg(F.bit_xor(F.xxhash64(*fields)).alias("checksum"), F.count("*").alias("buckets"))
+    return buckets.groupBy("series_id").agg(F.sum(F.xxhash64(*fields).cast("decimal(20,0)")).cast("string").alias("checksum"), F.count("*").alias("buckets"))
 
 
 def point_checksum(points: DataFrame) -> DataFrame:
     """One order-free checksum per series of (series, valid time, value bits)."""
-    return points.groupBy("series_id").agg(F.bit_xor(F.xxhash64("series_id", "valid_time", F.col("value").cast("string"))).alias("checksum"), F.count("*").alias("points"))
+    return points.groupBy("series_id").agg(F.sum(F.xxhash64("series_id", "valid_time", value_bits(F.col("value"))).cast("decimal(20,0)")).cast("string").alias("checksum"), F.count("*").alias("points"))

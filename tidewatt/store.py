@@ -2,8 +2,9 @@
 
     manifests/<generation>.json   what is visible; a new one is published by a rename
     points/file=<id>/             points by UTC day, sorted by series and time
-    catalog/<kind>/<file>/        upsert logs
+    catalog/<kind>/<file>/        upsert logs; like those of commits, a name begins with its first commit and level
     commits/<file>/               commits and ingress receipts
+    stats/<file>/                 per file of points: points and bounds of each series
     descriptors/<file>/           all current rollup descriptors
     rollups/<file>/               buckets
 
@@ -14,12 +15,14 @@ and rollups cannot disagree, whenever a writer stops. Later maintenance only add
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatt import schemas as S
 from tidewatt.errors import (
@@ -33,6 +36,8 @@ from tidewatt.sources import files
 
 #: Manifest generations kept.
 KEEP_GENERATIONS = 3
+#: Log files of one level that are merged into one of the next: a log of n commits is a few files times the logarithm of n.
+MERGE_LOGS = 16
 _POINTS_STORED = [*S.POINT_FIELDS, "valid_day"]
 
 
@@ -100,11 +105,24 @@ class RollupQuery:
 
 
 def _content(df: DataFrame) -> tuple[int, int | None, int | None, str]:
-    """Rows, bounds of the valid time and an order-free checksum of a table of points."""
-    row = df.agg(F.count("*"), F.min("valid_time"), F.max("valid_time"), F.bit_xor(F.xxhash64(*[F.col(c).cast("string") for c in S.POINT_FIELDS]))).first()
+    """Rows, bounds of the valid time and an order-free checksum (a sum: equal rows do not cancel) of a table of points."""
+    hashed = F.xxhash64(*[F.col(c).cast("string") for c in S.POINT_FIELDS]).cast("decimal(20,0)")
+    row = df.agg(F.count("*"), F.min("valid_time"), F.max("valid_time"), F.sum(hashed)).first()
     return row[0], row[1], row[2], str(row[3] or 0)
 
 
+def _log_name(folder: str, first: int, level: int) -> str:
+    return f"{folder}/{first:016d}-{level:02d}-{uuid.uuid4().hex}"
+
+
+def _first_commit(name: str) -> int:
+    return int(name.rsplit("/", 1)[1].split("-")[0])
+
+
+def _level(name: str) -> int:
+    return int(name.rsplit("/", 1)[1].split("-")[1])
+
+
 class EngineStore:
     """A handle on a store; ``open`` one for reading or, alone, for writing."""
 
@@ -211,12 +229,17 @@ class EngineStore:
         schema = T.StructType([*S.CATALOG[kind].fields, T.StructField("commit_seq", T.LongType())])
         return self.spark.read.schema(schema).parquet(*[self._path(p) for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
+    def _log_frame(self, kind: str | None, paths: list[str]) -> DataFrame:
+        """The rows of log files of a kind; of the commits if there is none."""
+        if kind is not None:
+            return self._log(kind, paths)
+        return self.spark.read.schema(S.RECEIPTS).parquet(*[self._path(p) for p in paths]) if paths else self.spark.createDataFrame([], S.RECEIPTS)
+
     def _current(self, kind: str, paths: list[str]) -> DataFrame:
         return C.last_wins(self._log(kind, paths))
 
     def commits(self) -> DataFrame:
-        paths = [self._path(p) for p in self.manifest["commits"]]
-        return self.spark.read.schema(S.RECEIPTS).parquet(*paths) if paths else self.spark.createDataFrame([], S.RECEIPTS)
+        return self._log_frame(None, self.manifest["commits"])
 
     def descriptors(self) -> DataFrame:
         path = self.manifest["descriptors"]
@@ -259,11 +282,20 @@ class EngineStore:
 
     # --- writing ---
 
-    def _write(self, df: DataFrame, folder: str) -> str:
-        name = f"{folder}/{uuid.uuid4().hex}"
+    def _write(self, df: DataFrame, folder: str, name: str | None = None) -> str:
+        name = name or f"{folder}/{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(self._path(name))
         return name
 
+    def _add_log(self, held: list[str], folder: str, schema, frame: DataFrame, commit_seq: int) -> list[str]:
+        """``held`` and one more file; ``MERGE_LOGS`` files of a level become one of the next."""
+        held = [*held, self._write(frame.coalesce(1), folder, _log_name(folder, commit_seq, 0))]
+        while len(held) >= MERGE_LOGS and len({_level(x) for x in held[-MERGE_LOGS:]}) == 1:
+            last = held[-MERGE_LOGS:]
+            merged = self.spark.read.schema(schema).parquet(*[self._path(x) for x in last]).coalesce(1)
+            held = [*held[:-MERGE_LOGS], self._write(merged, folder, _log_name(folder, _first_commit(last[0]), _level(last[0]) + 1))]
+        return held
+
     def _write_points(self, points: DataFrame, sealed: bool, commit_seq: int, small: bool = False) -> dict:
         """A batch within the limits is one file a day, a load is dealt by range. Sorted by series and time within UTC days: row-group statistics act as a sparse index."""
         stored = points.select(*S.POINT_FIELDS, floor_to(F.col("valid_time"), S.DAY).alias("valid_day"))
@@ -275,31 +307,51 @@ class EngineStore:
             files.delete(self.spark, self._path(name))
             raise
         if not files.names(self.spark, self._path(name)) or all(n.startswith("_") for n in files.names(self.spark, self._path(name))):
-            return {"path": name, "points": 0, "low": None, "high": None, "checksum": "0", "sealed": sealed, "commit": commit_seq}
+            return {"path": name, "points": 0, "low": None, "high": None, "checksum": "0", "sealed": sealed, "commit": commit_seq, "first": commit_seq}
         n, low, high, checksum = _content(self._segment(name))
-        return {"path": name, "points": n, "low": low, "high": high, "checksum": checksum, "sealed": sealed, "commit": commit_seq}
+        stats = self._write(R.series_stats(self._segment(name)).coalesce(1), "stats")
+        return {"path": name, "points": n, "low": low, "high": high, "checksum": checksum, "sealed": sealed, "commit": commit_seq, "first": commit_seq, "stats": stats}
+
+    def series_bounds(self) -> DataFrame:
+        """(series_id, revisions, min_valid, max_valid) of all points, from the files' own tables: a row a series and file."""
+        names = [self._path(p["stats"]) for p in self.manifest["points"] if p.get("stats")]
+        schema = "series_id long, revisions long, min_valid long, max_valid long, max_valid_end long"
+        if not names:
+            return self.spark.createDataFrame([], schema).drop("max_valid_end")
+        return self.spark.read.schema(schema).parquet(*names).groupBy("series_id").agg(F.sum("revisions").alias("revisions"), F.min("min_valid").alias("min_valid"), F.max("max_valid").alias("max_valid"))
 
     def _segment(self, name: str) -> DataFrame:
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.POINTS.fields) + ", valid_day bigint"
         return self.spark.read.schema(schema).parquet(self._path(name))
 
-    def _numbered(self, points: DataFrame, commit_seq: int) -> tuple[DataFrame, int]:
-        """Points with ``append_seq`` from their order in the batch; commit numbers used."""
-        order = "append_seq" if "append_seq" in points.columns else None
-        if order is None:
-            points = points.withColumn("append_seq", F.lit(None).cast("long"))
+    def _numbered(self, points: DataFrame, commit_seq: int, small: bool) -> tuple[DataFrame, int]:
+        """Points with ``append_seq`` from their order in the batch; commit numbers used.
+
+        Without a number of its own (no column, or nulls), a point of a transaction has its place in it; in a bulk
+        load only points of equal keys have to be told apart, and are by their other values: the greatest wins.
+        """
+        if "append_seq" not in points.columns or not points.where("append_seq is null").isEmpty():
+            if small:
+                place = F.monotonically_increasing_id()
+                points = (points.orderBy(F.col("append_seq").asc_nulls_first()) if "append_seq" in points.columns else points).coalesce(1).withColumn("append_seq", place)
+            else:
+                own = F.col("append_seq").cast("long") if "append_seq" in points.columns else F.lit(None).cast("long")
+                key = Window.partitionBy("series_id", "valid_time", "knowledge_time", "change_time")
+                place = F.row_number().over(key.orderBy("given", "run_id", "value", "valid_time_end", "quality", "flags"))
+                # what has a number keeps it; the rest comes before it
+                points = points.withColumn("given", own).withColumn("append_seq", F.coalesce("given", place - (1 << 20))).drop("given")
         bounds = points.agg(F.min("append_seq"), F.max("append_seq")).first()
         low = bounds[0] or 0
         width = 1 + ((bounds[1] or 0) - low >> S.BATCH_BITS)
         base = commit_seq << S.BATCH_BITS
-        return points.withColumn("append_seq", F.lit(base) + F.coalesce(F.col("append_seq") - low, F.lit(0))), width
+        return points.withColumn("append_seq", F.lit(base) + F.col("append_seq") - low), width
 
     def append(self, points: DataFrame) -> Commit:
         """Bulk load without catalogue checks; ``append_seq`` gives the order of equal keys."""
         self._writable()
         C.refuse(C.point_rules(points))
         seq = self.manifest["next_commit"]
-        numbered, width = self._numbered(points, seq)
+        numbered, width = self._numbered(points, seq, small=False)
         segment = self._write_points(numbered, False, seq)
         if not segment["points"]:
             files.delete(self.spark, self._path(segment["path"]))
@@ -326,8 +378,6 @@ class EngineStore:
 
     def _payload(self, tx: Transaction) -> tuple[str, int, int]:
         """SHA-256 over the canonical rows, number of points, bytes. Bounded by the batch limits."""
-        import hashlib
-
         upserts = json.dumps(tx.upserts, sort_keys=True, default=str)
         digest = hashlib.sha256(upserts.encode())
         n = size = 0
@@ -400,15 +450,15 @@ class EngineStore:
         segment = None
         if tx.points is not None:
             C.refuse(C.point_rules(tx.points, after["series"], after["runs"]))
-            numbered, _ = self._numbered(tx.points, seq)
+            numbered, _ = self._numbered(tx.points, seq, small=True)
             segment = self._write_points(numbered, False, seq, small=True)
             if segment["points"]:
                 manifest["points"] = [*manifest["points"], segment]
         for kind, frame in logs.items():
-            manifest["catalog"][kind] = [*manifest["catalog"][kind], self._write(frame, f"catalog/{kind}")]
+            manifest["catalog"][kind] = self._add_log(manifest["catalog"][kind], f"catalog/{kind}", frame.schema, frame, seq)
         if tx.commit_id is not None:
             receipt = (tx.source_id or "", tx.sequence if tx.source_id else -1, tx.commit_id, tx.records, n, size, sha, seq)
-            manifest["commits"] = [*manifest["commits"], self._write(self.spark.createDataFrame([receipt], S.RECEIPTS), "commits")]
+            manifest["commits"] = self._add_log(manifest["commits"], "commits", S.RECEIPTS, self.spark.createDataFrame([receipt], S.RECEIPTS), seq)
         if tx.source_id is not None:
             known = manifest["sources"].get(tx.source_id, {"durable": None})
             manifest["sources"] = {**manifest["sources"], tx.source_id: {**known, "accepted": tx.sequence}}
@@ -426,10 +476,16 @@ class EngineStore:
     def maintain(self, now: int) -> dict:
         """Drop expired descriptors, build completed shards that lack one, publish once.
 
-        One plan for all series of a resolution. A completed shard without a point gets a
-        descriptor without a file, so that coverage has no holes.
+        One plan for all series of a resolution. What is needed comes from the files' tables of series, so points
+        are read only for it, and only from the days it lies in; nothing is read if neither points, policies nor
+        descriptors have changed since the last call and no shard has been completed. A completed shard without
+        a point gets a descriptor without a file, so that coverage has no holes.
         """
         self._writable()
+        state = json.dumps([[p["path"] for p in self.manifest["points"]], self.manifest["catalog"]["series"], self.manifest["descriptors"]])
+        seen = self.manifest.get("maintained")
+        if seen and seen["state"] == hashlib.sha256(state.encode()).hexdigest() and seen["at"] <= now < seen["next"]:
+            return {"built": 0, "expired": 0, "generation": self.manifest["generation"], "gates": self.retention_gates(now)}
         tiers = self._tiers()
         resolutions = [Resolution.of(r[0]) for r in tiers.select("resolution").distinct().collect()]  # as many as policies use
         held = self.descriptors()
@@ -437,7 +493,7 @@ class EngineStore:
         keys = None
         new: list[DataFrame] = []
         points = self.points()
-        bounds = R.series_stats(points).select("series_id", F.col("min_valid").alias("low"), F.col("max_valid").alias("high"), F.col("revisions"))
+        bounds = self.series_bounds().select("series_id", F.col("min_valid").alias("low"), F.col("max_valid").alias("high"), F.col("revisions"))
         for resolution in resolutions:
             r = F.col("resolution")
             match = (r["micros"] == resolution.micros) if resolution.micros else (r["unit"] == resolution.unit) & (r["tz"] == resolution.tz)
@@ -450,11 +506,14 @@ class EngineStore:
                     continue
                 widest = own.agg(F.max("gap")).first()[0] or 0
                 reach = need.groupBy("series_id").agg(F.min("start").alias("from"), F.max("end").alias("to")).join(own.select("series_id", "gap"), "series_id")
-                near = points.join(reach, "series_id").where((F.col("valid_time") >= F.col("from") - F.col("gap")) & (F.col("valid_time") < F.col("to") + F.greatest("gap", F.lit(1))))
+                first, last = reach.agg(F.min(F.col("from") - F.col("gap")), F.max(F.col("to") + F.greatest("gap", F.lit(1)))).first()
+                own_days = points.where((F.col("valid_day") >= first - first % S.DAY) & (F.col("valid_day") <= last))  # literals: whole days are skipped
+                near = own_days.join(reach, "series_id").where((F.col("valid_time") >= F.col("from") - F.col("gap")) & (F.col("valid_time") < F.col("to") + F.greatest("gap", F.lit(1))))
                 made = U.build(R.winners(near, carry=F.col("gap")) if widest <= A.MAX_CARRY else R.winners(near), resolution, F.col("gap")).where(F.col("bucket_end") <= now).withColumn("start", P.shard_start(F.col("bucket_start"), resolution))
                 made = made.join(need, ["series_id", "start"], "left_semi").drop("start")
                 name = self._write(made.repartitionByRange("series_id", "bucket_start").sortWithinPartitions("series_id", "bucket_start"), "rollups")
-                new.append(_checkpointed(need.join(bounds.select("series_id", "revisions"), "series_id").select("series_id", F.lit(resolution.key).alias("resolution_key"), "start", "end", F.col("revisions").alias("source_points"), F.lit(name).alias("path"))))
+                done = self._write(need.join(bounds.select("series_id", "revisions"), "series_id").select("series_id", F.lit(resolution.key).alias("resolution_key"), "start", "end", F.col("revisions").alias("source_points"), F.lit(name).alias("path")), "descriptors")
+                new.append(self.spark.read.schema(S.DESCRIPTORS).parquet(self._path(done)))
                 built += new[-1].count()
             finally:
                 need.unpersist()
@@ -464,7 +523,12 @@ class EngineStore:
             expired = manifest["n_descriptors"] - kept.count()
         if built or expired:
             manifest = self._with_descriptors(manifest, reduce(DataFrame.unionByName, [kept, *new]))
+        state = json.dumps([[p["path"] for p in manifest["points"]], manifest["catalog"]["series"], manifest["descriptors"]])
+        manifest["maintained"] = {"at": now, "next": _next_boundary(now, resolutions), "state": hashlib.sha256(state.encode()).hexdigest()}
+        if built or expired:
             self._publish(manifest)
+        else:
+            self.manifest = manifest  # nothing to publish: the note is the handle's own until the next generation
         return {"built": built, "expired": expired, "generation": self.manifest["generation"], "gates": self.retention_gates(now)}
 
     def query_gauge(self, series_id: int, start: int, end: int, resolution: Resolution) -> RollupQuery:
@@ -487,15 +551,14 @@ class EngineStore:
                 parts.append(_within(U.overlapping(stored, start, end), spans))
         if gaps:
             low, high = gaps[0][0] - gap, gaps[-1][1] + max(gap, 1)
-            near = R.in_range(self.points(), low, high, series_id)
-            near = near.where(reduce(lambda a, b: a | b, [(F.col("valid_time") >= a - gap) & (F.col("valid_time") < b + max(gap, 1)) for a, b in gaps]))
+            near = _spanned(R.in_range(self.points(), low, high, series_id), [(a - gap, b + max(gap, 1)) for a, b in gaps], F.col("valid_time"), F.col("valid_time") + 1)
             parts.append(_within(U.latest_rollup(near, resolution, gap), gaps))
         source = "Raw" if not used else "Materialized" if not gaps else "Hybrid"
         buckets = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], S.BUCKETS)
         return RollupQuery(buckets.orderBy("bucket_start"), source, self.manifest["generation"])
 
     def retention_gates(self, now: int) -> DataFrame:
-        bounds = self.points().groupBy("series_id").agg(F.min("valid_time").alias("low"))
+        bounds = self.series_bounds().select("series_id", F.col("min_valid").alias("low"))
         return P.retention_gates(self.catalog()["series"], bounds, self.descriptors(), now)
 
     # --- files ---
@@ -507,7 +570,7 @@ class EngineStore:
         if not live:
             return {"sealed_points": 0, "files": 0}
         union = reduce(DataFrame.unionByName, [self._segment(p["path"]) for p in live])
-        segment = self._write_points(union, True, max(p["commit"] for p in live))
+        segment = {**self._write_points(union, True, max(p["commit"] for p in live)), "first": min(p["first"] for p in live)}
         if segment["points"] != sum(p["points"] for p in live):
             raise StorageFault("sealing lost points")
         self._publish({**self.manifest, "points": [p for p in self.manifest["points"] if p["sealed"]] + [segment]})
@@ -516,7 +579,7 @@ class EngineStore:
     def _referenced(self, manifests: list[dict]) -> set[str]:
         names = set()
         for m in manifests:
-            names |= {p["path"] for p in m["points"]} | set(m["commits"]) | {x for v in m["catalog"].values() for x in v}
+            names |= {p["path"] for p in m["points"]} | {p["stats"] for p in m["points"] if p.get("stats")} | set(m["commits"]) | {x for v in m["catalog"].values() for x in v}
             if m["descriptors"]:
                 names.add(m["descriptors"])
                 if files.exists(self.spark, self._path(m["descriptors"])):
@@ -528,7 +591,7 @@ class EngineStore:
         self._writable()
         kept = [json.loads(files.read_text(self.spark, f"{self.root}/manifests/{n}")) for n in files.names(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
         keep, gone = self._referenced([*kept, self.manifest]), []
-        for folder in ["points", "commits", "descriptors", "rollups", *[f"catalog/{k}" for k in S.CATALOG]]:
+        for folder in ["points", "stats", "commits", "descriptors", "rollups", *[f"catalog/{k}" for k in S.CATALOG]]:
             for name in files.names(self.spark, self._path(folder)):
                 if f"{folder}/{name}" not in keep:
                     files.delete(self.spark, self._path(f"{folder}/{name}"))
@@ -572,22 +635,34 @@ class EngineStore:
         return {"generation": self.manifest["generation"], "digest": digest}
 
 
-def _within(buckets: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
-    """Buckets that lie wholly in one of the spans; touching spans are one."""
+#: Spans up to which a condition names them; more are joined as a table.
+MAX_ARMS = 64
+
+
+def _spanned(rows: DataFrame, spans: list[tuple[int, int]], low: Column, high: Column) -> DataFrame:
+    """Rows whose low..high (end exclusive) lies wholly in one of the spans; touching and overlapping spans are one."""
     joined: list[list[int]] = []
     for a, b in sorted(spans):
-        if joined and joined[-1][1] == a:
-            joined[-1][1] = b
+        if joined and joined[-1][1] >= a:
+            joined[-1][1] = max(joined[-1][1], b)
         else:
             joined.append([a, b])
-    return buckets.where(reduce(lambda x, y: x | y, [(F.col("bucket_start") >= a) & (F.col("bucket_end") <= b) for a, b in joined]))
+    if len(joined) <= MAX_ARMS:
+        return rows.where(reduce(lambda x, y: x | y, [(low >= a) & (high <= b) for a, b in joined]))
+    table = rows.sparkSession.createDataFrame([tuple(x) for x in joined], "span_from long, span_to long")
+    # spans do not overlap, so a row meets one at most; the planner broadcasts the spans of one query
+    return rows.join(table, (low >= F.col("span_from")) & (high <= F.col("span_to")), "left_semi")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return spark.createDataFrame(df.collect(), df.schema) if df.count() < 100_000 else df
+def _within(buckets: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """Buckets that lie wholly in one of the spans."""
+    return _spanned(buckets, spans, F.col("bucket_start"), F.col("bucket_end"))
+
+
+def _next_boundary(now: int, resolutions: list[Resolution]) -> int:
+    """When the next shard can be completed: a whole number of every tier's buckets, a quarter of an hour away at most."""
+    step = math.gcd(S.HOUR // 4, *[r.micros for r in resolutions if r.micros])
+    return now - now % step + step
 
 
 def bucket_violations(buckets: DataFrame) -> DataFrame:
@@ -620,26 +695,55 @@ def restore_from(spark: SparkSession, backup: str, target: str) -> dict:
 
 
 def salvage_from(spark: SparkSession, source: str, target: str) -> dict:
-    """The longest run of commits whose files can be read, as a new store without rollups."""
+    """The longest run of commits from the first that can be read whole, as a new store without rollups.
+
+    A file that cannot be read, or differs from the manifest, ends the run before its first commit. Points, catalogue,
+    receipts and watermarks all end there, so that a source that sends the lost batches again is not told that
+    they are known.
+    """
     source, target = source.rstrip("/"), target.rstrip("/")
     if files.exists(spark, target):
         raise InvalidArgument(f"{target} is there already")
     manifest = EngineStore._load(spark, source)
     reader = EngineStore(spark, source, manifest, Config(), None)
-    kept, stopped = [], None
-    for p in sorted(manifest["points"], key=lambda p: p["commit"]):
+    end, stopped = manifest["next_commit"], None  # commits below ``end`` are whole
+
+    def readable(name: str, first: int, check) -> None:
+        nonlocal end, stopped
         try:
-            if _content(reader._segment(p["path"])) != (p["points"], p["low"], p["high"], p["checksum"]):
-                raise StorageFault("content differs")
+            check()
         except Exception as error:
-            stopped = f"{p['path']}: {str(error).splitlines()[0][:200]}"
-            break
-        kept.append(p)
-    out = {**manifest, "points": kept, "descriptors": None, "n_descriptors": 0, "generation": manifest["generation"] + 1}
-    for name in sorted(EngineStore(spark, source, out, Config(), None)._referenced([out])):
-        files.copy(spark, f"{source}/{name}", f"{target}/{name}")
+            if first < end:
+                end, stopped = first, f"{name}: {str(error).splitlines()[0][:200]}"
+
+    def same_points(p: dict) -> None:
+        if _content(reader._segment(p["path"])) != (p["points"], p["low"], p["high"], p["checksum"]):
+            raise StorageFault("content differs")
+
+    logs = [(None, n) for n in manifest["commits"]] + [(kind, n) for kind, own in manifest["catalog"].items() for n in own]
+    for p in manifest["points"]:
+        readable(p["path"], p["first"], lambda p=p: same_points(p))
+    for kind, name in logs:
+        readable(name, _first_commit(name), lambda kind=kind, name=name: reader._log_frame(kind, [name]).agg(F.sum(F.length(F.to_json(F.struct("*"))))).first())
+    keep = [dict(p) for p in manifest["points"] if p["commit"] < end]
+    cut = [p for p in manifest["points"] if p["first"] < end <= p["commit"]]
+    out = {**manifest, "generation": manifest["generation"] + 1, "next_commit": end, "points": keep, "descriptors": None, "n_descriptors": 0, "commits": [], "catalog": {k: [] for k in S.CATALOG}}
+    out.pop("maintained", None)
+    writer = EngineStore(spark, target, out, Config(), "salvage")
+    for p in keep:
+        files.copy(spark, f"{source}/{p['path']}", f"{target}/{p['path']}")
+        p["stats"] = writer._write(R.series_stats(writer._segment(p["path"])).coalesce(1), "stats")
+    for p in cut:  # a sealed file of commits on both sides
+        part = writer._write_points(reader._segment(p["path"]).where(F.col("append_seq") < end << S.BATCH_BITS), True, end - 1)
+        out["points"] = [*out["points"], {**part, "first": p["first"]}]
+    for kind, name in logs:
+        if _first_commit(name) < end:
+            writer._write(reader._log_frame(kind, [name]).where(F.col("commit_seq") < end), "", name)
+            (out["commits"] if kind is None else out["catalog"][kind]).append(name)
+    accepted = writer._log_frame(None, out["commits"]).where("source_id != ''").groupBy("source_id").agg(F.max("sequence").alias("sequence")).collect()  # a row a source
+    out["sources"] = {r["source_id"]: {"accepted": r["sequence"], "durable": r["sequence"]} for r in accepted}
     if EngineStore._load(spark, source)["generation"] != manifest["generation"]:
         raise SourceChanged(source)
     files.make(spark, f"{target}/manifests")
     files.publish_text(spark, f"{target}/manifests/{out['generation']:012d}.json", json.dumps(out, sort_keys=True))
-    return {"complete": stopped is None, "stopped_at": stopped, "segments": len(kept), "points": sum(p["points"] for p in kept)}
+    return {"complete": stopped is None, "stopped_at": stopped, "commits_below": end, "segments": len(out["points"]), "points": sum(p["points"] for p in out["points"])}
