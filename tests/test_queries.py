@@ -57,3 +57,15 @@ def test_stream_ingest_takes_all_events(spark, monkeypatch):
     monkeypatch.setattr(wire, "MAX_POINTS", len(want) // 4)
     with pytest.raises(TidewattError):
         core.ingest_events(spark, SF)
+
+
+def test_workload_bundle_has_its_published_sizes(spark):
+    assert core.QUERIES["workload_bundle"](spark, SF).collect() == [(2016, 65_958, 9, 14, 7)]
+
+
+def test_timestamps_of_lines_are_exact(spark, tmp_path):
+    from tidewatt.sources import tsbs
+
+    stamps = [1704571070203536, 1704571070203537]  # more nanoseconds than a double can tell apart
+    (tmp_path / "a").write_text("\n".join(f"readings,name=truck_1,fleet=South velocity=1 {t}000" for t in stamps))
+    assert sorted(r["valid_time"] for r in tsbs.read_tsbs(spark, str(tmp_path / "a"))["points"].collect()) == stamps

@@ -15,14 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewatt import schemas as S
-from tidewatt.errors import TidewattError
+from tidewatt.errors import ConfigError, ModelError, TidewattError
 from tidewatt.functions import floor_to, value_hours
 from tidewatt.operators import aggregates as A, catalog as C, fleet, reconcile, revisions as R, rollup as U
 from tidewatt.plans import coverage
 from tidewatt.schemas import DAY, HOUR, MICROS, Resolution
-from tidewatt.sources import wire
+from tidewatt.sources import files, replay, tsbs, wire, workload
 from tidewatt.sources.points import events_as_points, parquet_probe
-from tidewatt.store import EngineStore, Transaction
+from tidewatt.store import Config, EngineStore, Transaction, restore_from, salvage_from
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,13 +285,16 @@ register("upserts_last_win", "SELECT o_custkey AS id, arg_max(o_totalprice, o_or
     lambda spark, d: C.last_wins(_table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("commit_seq"))))
 
 
-@register("reference_cycles", "SELECT 'nations in a circle' AS rule, CAST(n_nationkey AS VARCHAR) AS object FROM nation WHERE n_nationkey < 12")
+@register("reference_cycles", """WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 < 7 THEN c_custkey - c_custkey % 50 + (c_custkey % 50 * 3 + c_nationkey) % 50 ELSE c_custkey - 1 - c_nationkey % 3 END AS ref FROM customer),
+w AS (SELECT id, ref AS at, 1 AS steps FROM c WHERE ref IN (SELECT id FROM c) UNION ALL SELECT w.id, c.ref, steps + 1 FROM w JOIN c ON c.id = w.at WHERE c.ref IN (SELECT id FROM c) AND steps < 60)
+SELECT 'customers in a circle' AS rule, CAST(id AS VARCHAR) AS object FROM w WHERE steps = 60""")
 def reference_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Seven nations refer to each other in a circle, five more lead into it, the rest form a chain."""
-    nations = _table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-    key = F.col("id")
-    ref = F.when(key < 7, (key + 1) % 7).when(key == 12, None).otherwise(key - 1)
-    return C.cycles(nations.withColumn("ref", ref), nations, "nations in a circle")
+    """Customers refer to others of their fifty: some in circles, some into them, the rest in chains that end. The SQL
+    walks on from each: who has gone sixty steps among fifty has been somewhere twice, and never ends."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    ref = F.when(key % 50 < 7, key - key % 50 + (key % 50 * 3 + nation) % 50).otherwise(key - 1 - nation % 3)
+    customers = _table(spark, d, "customer").select(key.alias("id"), ref.alias("ref"))
+    return C.cycles(customers, customers, "customers in a circle")
 
 
 _STATUS = "CASE {k} % 5 WHEN 0 THEN 'Candidate' WHEN 1 THEN 'Approved' WHEN 2 THEN 'Deployed' WHEN 3 THEN 'Superseded' ELSE 'Cancelled' END"
@@ -348,7 +351,10 @@ register("reconcile_points", f"""WITH {_SIDES_SQL} SELECT (SELECT count(*) FROM
     lambda spark, d: reconcile.point_counts(reconcile.compare_points(events_as_points(spark, d), _stored(events_as_points(spark, d)))))
 
 
-@register("reconcile_catalog", """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'different' ELSE 'match' END AS outcome FROM customer""")
+@register("reconcile_catalog", """WITH own AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer),
+supplied AS (SELECT *, 2 AS seq FROM own UNION ALL SELECT id, 'older', balance, 1 FROM own), last AS (SELECT id, arg_max(name, seq) AS name, arg_max(balance, seq) AS balance FROM supplied GROUP BY 1),
+stored AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'changed' ELSE name END AS name, balance FROM own WHERE id % 10 <> 0)
+SELECT last.id, CASE WHEN stored.id IS NULL THEN 'missing' WHEN last.name IS DISTINCT FROM stored.name OR last.balance IS DISTINCT FROM stored.balance THEN 'different' ELSE 'match' END AS outcome FROM last LEFT JOIN stored ON last.id = stored.id""")
 def reconcile_catalog(spark: SparkSession, d: str) -> DataFrame:
     own = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     supplied = own.withColumn("commit_seq", F.lit(2)).unionByName(own.withColumn("name", F.lit("older")).withColumn("commit_seq", F.lit(1)))
@@ -356,8 +362,10 @@ def reconcile_catalog(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.compare_catalog(supplied, stored)
 
 
-@register("reconcile_receipts", """SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderkey AS sequence, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 11 = 0 THEN 'commit conflict' WHEN o_orderkey % 13 = 0 THEN 'shape mismatch' WHEN o_orderkey % 17 = 0 THEN 'payload mismatch'
-  WHEN o_orderkey > 500 THEN 'not durable' ELSE 'match' END AS outcome FROM orders""")
+@register("reconcile_receipts", """WITH e AS (SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderkey AS sequence, printf('%X', o_orderkey) AS commit_id, 1 AS records, o_custkey AS points, sha256(CAST(o_orderkey AS VARCHAR)) AS sha FROM orders),
+s AS (SELECT source_id, sequence, CASE WHEN sequence % 11 = 0 THEN 'other' ELSE commit_id END AS commit_id, records, CASE WHEN sequence % 13 = 0 THEN -1 ELSE points END AS points, CASE WHEN sequence % 17 = 0 THEN 'x' ELSE sha END AS sha FROM e WHERE sequence % 10 <> 0)
+SELECT e.source_id, e.sequence, CASE WHEN s.sequence IS NULL THEN 'missing' WHEN s.commit_id <> e.commit_id THEN 'commit conflict' WHEN s.records <> e.records OR s.points <> e.points THEN 'shape mismatch' WHEN s.sha <> e.sha THEN 'payload mismatch'
+  WHEN e.sequence > 500 THEN 'not durable' ELSE 'match' END AS outcome FROM e LEFT JOIN s ON e.source_id = s.source_id AND e.sequence = s.sequence""")
 def reconcile_receipts(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     expected = _table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("source_id"), key.alias("sequence"), F.hex(key).alias("commit_id"), F.lit(1).cast("long").alias("records"), F.col("o_custkey").alias("points"), F.sha2(key.cast("string"), 256).alias("payload_sha"))
@@ -366,10 +374,6 @@ def reconcile_receipts(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.compare_receipts(expected, stored, expected.select("source_id").distinct().withColumn("durable", F.lit(500)))
 
 
-register("ingress_watermarks", "SELECT o_custkey AS source_id, max(o_orderkey) AS accepted, max(o_orderkey) FILTER (o_orderstatus = 'F') AS durable FROM orders GROUP BY 1")(
-    lambda spark, d: _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("source_id")).agg(F.max("o_orderkey").alias("accepted"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("durable")))
-
-
 # --- fleets ---
 
 @register("fleet_rollup", """SELECT r_name AS region, year(o_orderdate) * 100 + month(o_orderdate) AS month, count(*) AS points, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS min, max(o_totalprice) AS max
@@ -398,15 +402,21 @@ register("fleet_long_sessions", f"WITH {_SLOTS_SQL.replace('FROM r GROUP', f'FRO
 register("fleet_daily_activity", f"WITH {_SLOTS_SQL} SELECT fleet, slot - slot % {DAY} AS day, count(*) AS slots FROM a GROUP BY 1, 2")(lambda spark, d: fleet.daily_activity(_readings(spark, d), HOUR, 30))
 register("fleet_daily_duration", f"WITH {_SLOTS_SQL}, x AS (SELECT vehicle, fleet, slot - slot % {DAY} AS day, count(*) AS slots FROM a GROUP BY 1, 2, 3) SELECT vehicle, fleet, round(sum(slots) / count(*), 8) AS mean_slots FROM x GROUP BY 1, 2")(
     lambda spark, d: fleet.mean_daily_duration(_readings(spark, d), HOUR, 30).withColumn("mean_slots", _r("mean_slots", 8)))
-register("fleet_breakdowns", f"WITH {_READINGS_SQL}, x AS (SELECT *, lag(value) OVER (PARTITION BY vehicle, ts - ts % {DAY} ORDER BY ts, seq) AS b FROM r) SELECT fleet, CAST(count(*) FILTER (b >= 50 AND value < 50) AS BIGINT) AS breakdowns FROM x GROUP BY 1")(
-    lambda spark, d: fleet.breakdowns(_readings(spark, d), 50, within_day=True))  # as the SQL has it
+register("fleet_breakdowns", f"WITH {_READINGS_SQL}, x AS (SELECT *, lag(value) OVER (PARTITION BY vehicle ORDER BY ts, seq) AS b FROM r) SELECT fleet, CAST(count(*) FILTER (b >= 50 AND value < 50) AS BIGINT) AS breakdowns FROM x GROUP BY 1")(
+    lambda spark, d: fleet.breakdowns(_readings(spark, d), 50))
 register("fleet_mean", f"WITH {_READINGS_SQL} SELECT fleet, ts - ts % {DAY} AS day, round(sum(value) / count(value), 8) AS mean FROM r GROUP BY 1, 2")(lambda spark, d: fleet.mean_by_fleet(_readings(spark, d)).withColumn("mean", _r("mean", 8)))
 
 
 # --- the store ---
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewatt-")
+    """A new folder in the cluster's shared one; a local one only where none is set and all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ConfigError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidewatt-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -450,11 +460,11 @@ FRAME_POINTS = min(wire.MAX_POINTS, wire.MAX_FRAME_BYTES // 320)
 
 def ingest_events(spark: SparkSession, d: str) -> DataFrame:
     """All events streamed in as frames of one source, the first frame twice; the points that the store then
-    holds. Their flags are the last digit of the event's number. A refused frame is an error."""
+    holds. A refused frame is an error."""
     from tidewatt.streaming.ingest import start_ingest
 
     folder = _folder(spark, "stream")
-    own = events_as_points(spark, d).withColumn("flags", F.pmod("append_seq", F.lit(10)))
+    own = events_as_points(spark, d)
     span = F.floor(F.col("append_seq") / FRAME_POINTS).cast("long").alias("span")
     held = own.groupBy(span).agg(F.array_sort(F.collect_list(F.struct("append_seq", *S.POINT_IDENTITY))).alias("p"))
     cuts = held.select("span", "p", F.explode(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / FRAME_POINTS).cast("int"))).alias("cut"))  # more than one if numbers repeat
@@ -476,7 +486,156 @@ def ingest_events(spark: SparkSession, d: str) -> DataFrame:
         return store.points()
 
 
-@register("stream_ingest", f"WITH {POINTS_SQL} SELECT series_id, valid_time, knowledge_time, change_time, run_id, value FROM points WHERE append_seq % 10 = 0")
+@register("stream_ingest", f"WITH {POINTS_SQL} SELECT series_id, valid_time, knowledge_time, change_time, run_id, value FROM points")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """All events are streamed in; of the stored points, those that the SQL asks for."""
-    return ingest_events(spark, d).where("flags = 0").select("series_id", "valid_time", "knowledge_time", "change_time", "run_id", "value")
+    """All events are streamed in; the points that the store then holds."""
+    return ingest_events(spark, d).select("series_id", "valid_time", "knowledge_time", "change_time", "run_id", "value")
+
+
+_BATCHES_SQL = POINTS_SQL + """, q AS (SELECT *, append_seq % 3 + 1 AS src, (us - {t0}) // {day} % 4 + 1 AS number FROM points)""".format(t0=T0, day=DAY)
+
+
+def _ingressed(spark: SparkSession, d: str, store: EngineStore) -> None:
+    """Events as batches of three sources, four a source by day; each is sent twice, and the third source's later ones
+    are refused: their series is not defined."""
+    _define(store)
+    points = events_as_points(spark, d)
+    number = (F.floor((F.col("knowledge_time") - T0) / DAY) % 4 + 1).cast("long")
+    dealt = points.withColumn("source", F.col("append_seq") % 3 + 1).withColumn("number", number)
+    for source in (1, 2, 3):
+        for sequence in range(1, 5):
+            own = dealt.where((F.col("source") == source) & (F.col("number") == sequence)).select(*points.columns)
+            if source == 3 and sequence > 2:
+                own = own.withColumn("series_id", F.lit(99).cast("long"))
+            for _ in range(2):
+                tx = Transaction().with_ingress_identity(S.hex_id(source), sequence, S.hex_id(100 * source + sequence)).append_points(own)
+                try:
+                    store.commit(tx)
+                except ModelError:
+                    pass
+
+
+def _ingress_config(spark: SparkSession, d: str) -> Config:
+    """Batches as large as the number range of a commit allows."""
+    return Config(max_batch_points=1 << S.BATCH_BITS, max_batch_bytes=1 << 40)
+
+
+@register("ingress_receipts", f"""WITH {_BATCHES_SQL} SELECT printf('%032x', CAST(src AS BIGINT)) AS source_id, CAST(number AS BIGINT) AS sequence, printf('%032x', CAST(100 * src + number AS BIGINT)) AS commit_id, count(*) AS points
+FROM q WHERE NOT (src = 3 AND number > 2) GROUP BY src, number""")
+def ingress_receipts(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts of ordered, identified commits: one a batch, however often it is sent, none of refused ones."""
+    with EngineStore.open(spark, _folder(spark, "store"), _ingress_config(spark, d)) as store:
+        _ingressed(spark, d, store)
+        return store.commits().select("source_id", "sequence", "commit_id", "points")
+
+
+@register("ingress_watermarks", f"""WITH {_BATCHES_SQL} SELECT printf('%032x', CAST(src AS BIGINT)) AS source_id, CAST(max(number) AS BIGINT) AS accepted, CAST(max(number) AS BIGINT) AS durable FROM q WHERE NOT (src = 3 AND number > 2) GROUP BY src""")
+def ingress_watermarks(spark: SparkSession, d: str) -> DataFrame:
+    """How far each source has come, after its batches have been flushed."""
+    with EngineStore.open(spark, _folder(spark, "store"), _ingress_config(spark, d)) as store:
+        _ingressed(spark, d, store)
+        store.flush(S.hex_id(1), 4)
+        rows = [(k, v["accepted"], v["durable"]) for k, v in store.all_watermarks().items()]  # a row a source
+        return spark.createDataFrame(rows, "source_id string, accepted long, durable long")
+
+
+@register("store_salvage", f"""WITH {POINTS_SQL} SELECT {_POINT.replace(', append_seq', '')} FROM points WHERE (us - {T0}) // {DAY} < 10""")
+def store_salvage(spark: SparkSession, d: str) -> DataFrame:
+    """Three loads, the second broken: what salvage keeps is the first."""
+    folder = _folder(spark, "store")
+    points = events_as_points(spark, d)
+    day = F.floor((F.col("knowledge_time") - T0) / DAY)
+    with EngineStore.open(spark, f"{folder}/whole") as store:
+        for low, high in ((-1 << 30, 10), (10, 20), (20, 1 << 30)):
+            store.append(points.where((day >= low) & (day < high)))
+        broken = store.manifest["points"][1]["path"]
+    files.delete(spark, f"{folder}/whole/{broken}")
+    salvage_from(spark, f"{folder}/whole", f"{folder}/saved")
+    with EngineStore.open(spark, f"{folder}/saved", read_only=True) as saved:
+        return saved.points().select(*_POINT_NAMES[:-1])
+
+
+@register("store_restore", f"WITH {POINTS_SQL} SELECT {_POINT.replace(', append_seq', '')} FROM points")
+def store_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Two loads, sealed, swept, backed up and restored."""
+    folder = _folder(spark, "store")
+    points = events_as_points(spark, d)
+    with EngineStore.open(spark, f"{folder}/whole") as store:
+        store.append(points.where("append_seq % 2 = 0"))
+        store.append(points.where("append_seq % 2 = 1"))
+        store.seal()
+        store.sweep()
+        store.backup_to(f"{folder}/backup")
+    restore_from(spark, f"{folder}/backup", f"{folder}/copy")
+    with EngineStore.open(spark, f"{folder}/copy", read_only=True) as copy:
+        return copy.points().select(*_POINT_NAMES[:-1])
+
+
+@register("store_active_rollups", f"""WITH {POINTS_SQL}, b AS (SELECT series_id, count(*) AS n, min(valid_time) AS low, max(valid_time) AS high FROM points GROUP BY 1),
+x AS (SELECT series_id, n, unnest(generate_series(low - low % {DAY}, high - high % {DAY}, {DAY})) AS s FROM b)
+SELECT series_id, s AS start, s + {DAY} AS "end", CAST(n AS BIGINT) AS source_points FROM x WHERE s + {DAY} <= {T0 + 12 * DAY}""")
+def store_active_rollups(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptors after maintenance, and after a second call that finds nothing to do."""
+    with EngineStore.open(spark, _folder(spark, "store")) as store:
+        _define(store)
+        store.append(events_as_points(spark, d))
+        store.maintain(T0 + 12 * DAY)
+        store.maintain(T0 + 12 * DAY)
+        return store.active_rollups().select("series_id", "start", "end", "source_points")
+
+
+@register("point_checksums", f"WITH {POINTS_SQL} SELECT a.series_id, count(*) AS points, true AS same_in_any_order, true AS sees_equal_rows FROM points a GROUP BY 1")
+def point_checksums(spark: SparkSession, d: str) -> DataFrame:
+    """A checksum does not depend on the order of points, and sees a point that is there three times."""
+    points = events_as_points(spark, d)
+    twice_more = points.unionByName(points.where("append_seq % 100 = 1")).unionByName(points.where("append_seq % 100 = 1"))
+    sums = [U.point_checksum(df).select("series_id", F.col("checksum").alias(f"c{k}"), F.col("points").alias(f"n{k}")) for k, df in enumerate((points, points.orderBy(F.desc("append_seq")), twice_more))]
+    both = sums[0].join(sums[1], "series_id").join(sums[2], "series_id")
+    return both.select("series_id", F.col("n0").alias("points"), (F.col("c0") == F.col("c1")).alias("same_in_any_order"), (F.col("c0") != F.col("c2")).alias("sees_equal_rows"))
+
+
+# --- sources ---
+
+@register("tsbs_lines", """WITH e AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, CAST(value AS DOUBLE) AS value FROM events)
+SELECT 'truck_' || user_id AS truck, 'readings.velocity' AS series, us AS valid_time, value FROM e WHERE event_type <> 'error'
+UNION ALL SELECT 'truck_' || user_id, 'diagnostics.fuel_state', us, value FROM e WHERE event_type = 'error'""")
+def tsbs_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as line protocol and read back: points under their trucks' and series' names."""
+    folder = _folder(spark, "tsbs")
+    events = _table(spark, d, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "user_id", "event_type", F.col("value").cast("double").alias("value"))
+    tags = F.concat(F.lit(",name=truck_"), F.col("user_id").cast("string"), F.lit(",fleet=South "))
+    field = F.when(F.col("event_type") == "error", F.lit("fuel_state=")).otherwise(F.lit("velocity="))
+    table = F.when(F.col("event_type") == "error", F.lit("diagnostics")).otherwise(F.lit("readings"))
+    events.select(F.concat(table, tags, field, F.col("value").cast("string"), F.lit(" "), (F.col("us") * 1000).cast("string"))).write.text(folder)
+    out = tsbs.read_tsbs(spark, folder)
+    names = out["series"].select(F.col("id").alias("series_id"), F.col("name").alias("series"), F.col("owner_entity").alias("owner"))
+    trucks = out["entities"].select(F.col("id").alias("owner"), F.col("name").alias("truck"))
+    return out["points"].join(names, "series_id").join(trucks, "owner").select("truck", "series", "valid_time", "value")
+
+
+@register("replay_lines", f"SELECT 'd' || (user_id + 1) AS driver, 's' || (user_id * 100 + n + 1) AS metric, {replay.ORIGIN_MICROS // 1000} + offset_ms AS ts_ms, value FROM (SELECT user_id, event_id % 5 AS n, (epoch_us(min(ts)) - {T0}) // 1000 AS offset_ms, CAST(arg_min(value, row(ts, event_id)) AS DOUBLE) AS value FROM events GROUP BY user_id, event_id % 5)")
+def replay_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first event of each user and fifth, written as a sanitized CSV and read back as samples."""
+    folder = _folder(spark, "replay")
+    events = _table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").cast("double").alias("value"))
+    firsts = events.groupBy("user_id", (F.col("event_id") % 5).alias("n")).agg(F.min(F.struct("us", "event_id", "value")).alias("x"))
+    rows = firsts.select((F.col("user_id") + 1).alias("driver_id"), (F.col("user_id") * 100 + F.col("n") + 1).alias("series_id"), F.floor((F.col("x.us") - T0) / 1000).cast("long").alias("offset_ms"), F.col("x.value").alias("value"))
+    rows.orderBy("driver_id", "series_id", "offset_ms").coalesce(1).write.option("header", True).csv(folder)
+    out = replay.read_replay(spark, folder)
+    return replay.samples(out["points"], out["series"]).select("driver", "metric", "ts_ms", "value")
+
+
+@register("workload_bundle", None)  # a seeded generator: SQL could only state its sizes, which a test does
+def workload_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """The generated fortnight, written as a bundle and read back: its published sizes, and a week of five-minute buckets."""
+    folder = _folder(spark, "bundle")
+    config = workload.WorkloadConfig()
+    workload.write_bundle(workload.generate(spark, config), folder)
+    made = workload.read_bundle(spark, folder)
+    week = made["points"].where(f"series_id = 1 and valid_time < {config.start_micros + 7 * DAY}")
+    buckets = U.build(R.winners(week), Resolution(micros=300 * MICROS), 180 * MICROS).agg(F.count("*").alias("buckets"))
+    counts = [made[k].agg(F.count("*").alias(k)) for k in ("points", "series", "runs", "plans")]
+    out = buckets
+    for c in counts:  # one row each
+        out = out.withColumn("one", F.lit(1)).join(c.withColumn("one", F.lit(1)), "one").drop("one")
+    return out

@@ -52,17 +52,18 @@ def mean_daily_duration(readings: DataFrame, width: int, least: float) -> DataFr
     return days.groupBy("vehicle", "fleet").agg((F.sum("slots") / F.count("*")).alias("mean_slots"))
 
 
-def breakdowns(readings: DataFrame, least: float, within_day: bool = False) -> DataFrame:
-    """Per fleet: falls of a vehicle from at least ``least`` to below it, from each reading to the next;
-    with ``within_day``, only those whose two readings are of one UTC day."""
+def breakdowns(readings: DataFrame, least: float) -> DataFrame:
+    """Per fleet: falls of a vehicle from at least ``least`` to below it, from each reading to the next.
+
+    Windows are per vehicle and day; a day's last reading is carried to the vehicle's next day that has any.
+    """
     over = Window.partitionBy("vehicle", "day").orderBy("ts", "seq")
-    own = readings.withColumn("day", floor_to(F.col("ts"), DAY)).withColumn("before", F.lag("value").over(over))
-    if not within_day:
-        lasts = own.groupBy("vehicle", "day").agg(F.max_by("value", F.struct("ts", "seq")).alias("last"))
-        earlier = lasts.select("vehicle", "day", F.lag("last").over(Window.partitionBy("vehicle").orderBy("day")).alias("carried"))
-        first = F.row_number().over(over) == 1
-        own = own.withColumn("first", first).join(earlier, ["vehicle", "day"]).withColumn("before", F.when(F.col("first"), F.col("carried")).otherwise(F.col("before")))
-    return own.groupBy("fleet").agg(F.count_if((F.col("before") >= least) & (F.col("value") < least)).alias("breakdowns"))
+    own = readings.withColumn("day", floor_to(F.col("ts"), DAY)).withColumn("before", F.lag("value").over(over)).withColumn("first", F.row_number().over(over) == 1)
+    lasts = own.groupBy("vehicle", "day").agg(F.max_by("value", F.struct("ts", "seq")).alias("last"))
+    earlier = lasts.select("vehicle", "day", F.lag("last").over(Window.partitionBy("vehicle").orderBy("day")).alias("carried"))
+    before = F.when(F.col("first"), F.col("carried")).otherwise(F.col("before"))
+    both = own.join(earlier, ["vehicle", "day"]).withColumn("before", before)
+    return both.groupBy("fleet").agg(F.count_if((F.col("before") >= least) & (F.col("value") < least)).alias("breakdowns"))
 
 
 def mean_by_fleet(readings: DataFrame) -> DataFrame:

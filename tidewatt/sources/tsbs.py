@@ -49,7 +49,7 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("ns").isNull(), "bad timestamp").when(F.col("ns") % 1000 != 0, "timestamp is not whole microseconds")
         .when(F.exists("fields", lambda t: t["ok"].isNull() | (t["k"] == "") | number(t["v"]).isNull() | F.isnan(number(t["v"])) | (F.abs(number(t["v"])) == float("inf"))) | (F.size(F.array_distinct(F.transform("fields", lambda t: t["k"]))) != F.size("fields")), "bad field")
         .when(F.exists("fields", lambda t: ~F.concat_ws(".", "measurement", t["k"]).isin(*known)), "unknown field"))
-    return out.select("line", "measurement", F.floor(F.col("ns") / 1000).cast("long").alias("micros"), F.array_sort(F.transform("tags", lambda t: F.concat(t["k"], F.lit("="), t["v"]))).alias("tags"),
+    return out.select("line", "measurement", F.expr("ns div 1000").alias("micros"), F.array_sort(F.transform("tags", lambda t: F.concat(t["k"], F.lit("="), t["v"]))).alias("tags"),
                       F.transform("fields", lambda t: F.struct(t["k"].alias("name"), number(t["v"]).alias("value"))).alias("fields"), reason.alias("reason"))
 
 
