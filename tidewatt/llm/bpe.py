@@ -28,6 +28,10 @@ from pyspark.sql import DataFrame, types as T
 from tidewatt.llm import runtime
 
 
+#: Text whose unseen pre-tokens share one queue: array operations are the cheaper, the more of them there are.
+SLICE_BYTES = 4 << 20
+
+
 class RankQueue:
     """Buckets of positions per rank under a bitmap of three levels (64 x 64 x 64 ranks)."""
 
@@ -190,4 +194,4 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
         return kernel
 
-    return runtime.map_texts(docs, make, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return runtime.map_texts(docs, make, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())], slice_bytes=SLICE_BYTES)

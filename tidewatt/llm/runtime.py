@@ -93,7 +93,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         at = stop
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list], Sequence]], fields: Sequence[T.StructField], *, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list], Sequence]], fields: Sequence[T.StructField], *, keep: Sequence[str] = ("doc_id",), text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Add computed columns to ``keep``, slice by slice of whole texts.
 
     ``make()`` runs once a task and returns the kernel: it gets the list of texts (None
@@ -110,7 +110,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], Sequence]], fie
         types = [f.type for f in to_arrow_schema(schema)]
         kernel = make()
         for batch in batches:
-            for part in slices(batch, width):
+            for part in slices(batch, width, slice_bytes):
                 out = kernel(part.column(width).to_pylist())
                 columns = [part.column(i) for i in range(width)]
                 columns += [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, type=t) for x, t in zip(out, types[width:], strict=True)]
