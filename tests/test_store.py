@@ -270,6 +270,45 @@ def test_checksums_see_equal_rows(spark):
     assert bucket_checksum(buckets).first()["checksum"] != bucket_checksum(buckets.unionByName(buckets).unionByName(buckets)).first()["checksum"]
 
 
+def test_rollup_in_sql(spark, root):
+    with EngineStore.open(spark, root) as store:
+        store.commit(definitions(series=(1, 2)))
+        store.append(rows(spark, [(k * SEC * 3 // 2, k % 7) for k in range(40)]).unionByName(rows(spark, [(0, 9)], 2)))
+        store.append(rows(spark, [(6 * SEC, 100)]))
+        sql.register(spark, store)
+        names = "bucket_start, bucket_end, count, sum, min, max, integral, covered"
+        got = spark.sql(f"SELECT {names} FROM gauge_rollup(1, {3 * SEC}, {50 * SEC}, {5 * SEC}, {2 * SEC})").collect()
+        want = U.latest_rollup(R.in_range(store.points(), 3 * SEC, 50 * SEC, 1), FIVE, 2 * SEC).select(*names.split(", ")).collect()
+        assert len(want) == 10 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_maintenance_by_elapsed_time(spark, root, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"{k}.json").write_text(json.dumps(body(A, k + 1, k + 1, [(k * DAY + 1, k)])))
+    ticks = iter([0, 5, 12, 13, 40])
+    seen = []
+    with EngineStore.open(spark, root) as store:
+        store.commit(definitions())
+        store.maintain = lambda now: seen.append(now)
+        stream = wire.read_batches(spark, str(folder), stream=True, files_per_trigger=1)
+        start_ingest(store, stream, f"file://{tmp_path}/checkpoint", maintain_after=10, clock=lambda: next(ticks)).awaitTermination()
+    assert seen == [12, 40]
+
+
+def test_late_points_of_a_long_gap(spark):
+    from tidewatt.plans import coverage
+
+    year = 366 * DAY
+    held = spark.createDataFrame([(1, "a", 100 * year, 101 * year, 1, "x"), (1, "b", 5 * DAY, 6 * DAY, 1, "x"), (2, "b", 5 * DAY, 6 * DAY, 1, "x")], S.DESCRIPTORS)
+    for gap, times, want in ((SEC, [5 * DAY - SEC], {"b"}), (SEC, [5 * DAY - SEC - 1, 6 * DAY + 1], set()), (SEC, [6 * DAY], {"b"}), (90 * year, [11 * year], {"a"}), (1 << 62, [4 * DAY], {"a", "b"}), (90 * year, [102 * year], set())):
+        points = rows(spark, [(t, 1) for t in times])
+        gaps = spark.createDataFrame([(1, gap), (2, gap)], "series_id long, gap long")
+        got = coverage.dirty(points, held, gaps).collect()
+        assert {r["resolution_key"] for r in got} == want and len(got) == len(want)
+
+
 def test_many_spans(spark):
     from tidewatt import store as module
 

@@ -12,8 +12,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.errors import InvalidArgument
-from tidewatt.functions import bucket_end, bucket_start, bucket_starts, saturating_add
-from tidewatt.schemas import Resolution
+from tidewatt.functions import bucket_end, bucket_start, bucket_starts, floor_to, saturating_add
+from tidewatt.schemas import DAY, Resolution
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -100,17 +100,30 @@ def needed(bounds: DataFrame, descriptors: DataFrame, resolution: Resolution, no
     return shards(bounds, resolution, now).join(have, ["series_id", "start", "end"], "left_anti")
 
 
+#: Days that a descriptor and its gap may reach over to be dealt by day.
+_MAX_DAYS = 4000
+
+
 def dirty(points: DataFrame, descriptors: DataFrame, gaps: DataFrame) -> DataFrame:
     """Descriptors that new points make wrong: of the same series, with a valid time from
     ``start - gap`` to ``end`` (closed: a point on the edge ends the last hold).
 
-    ``gaps(series_id, gap)``. Points are first reduced to a row a (series, valid time); Spark
-    broadcasts whichever side is small, and deals both by series otherwise.
+    ``gaps(series_id, gap)``. Points are first reduced to a row a (series, valid time). Both sides are dealt by
+    (series, UTC day), so that a hot series is spread over its days; descriptors that reach over more than
+    ``_MAX_DAYS`` (there are few to a series) meet the least and greatest time of each day instead.
     """
-    times = points.select("series_id", "valid_time").distinct()
+    day = lambda x: floor_to(x, DAY)
+    times = points.select("series_id", "valid_time").distinct().withColumn("day", day(F.col("valid_time")))
     wide = descriptors.join(gaps, "series_id", "left").withColumn("low", saturating_add(F.col("start"), -F.coalesce("gap", F.lit(0))))
-    hit = (wide["series_id"] == times["series_id"]) & (times["valid_time"] >= wide["low"]) & (times["valid_time"] <= wide["end"])
-    return wide.join(times, hit, "left_semi").select(*descriptors.columns)
+    short = F.try_subtract("end", "low") <= _MAX_DAYS * DAY
+    dealt = wide.where(short).withColumn("day", F.explode(F.sequence(day(F.col("low")), day(F.col("end")), F.lit(DAY))))
+    hit = (dealt["series_id"] == times["series_id"]) & (dealt["day"] == times["day"]) & (times["valid_time"] >= dealt["low"]) & (times["valid_time"] <= dealt["end"])
+    near = dealt.join(times, hit, "left_semi").select(*descriptors.columns)
+    long = wide.where(~F.coalesce(short, F.lit(False)))
+    ends = times.groupBy("series_id", "day").agg(F.array(F.min("valid_time"), F.max("valid_time")).alias("t")).select("series_id", F.explode("t").alias("valid_time"))
+    over = (long["series_id"] == ends["series_id"]) & (ends["valid_time"] >= long["low"]) & (ends["valid_time"] <= long["end"])
+    far = long.join(ends, over, "left_semi").select(*descriptors.columns)
+    return near.unionByName(far).distinct()
 
 
 def retention_gates(series: DataFrame, bounds: DataFrame, descriptors: DataFrame, now: int) -> DataFrame:

@@ -49,21 +49,27 @@ def _plain(value):
     return value
 
 
-def start_ingest(store: EngineStore, batches: DataFrame, checkpoint: str, on_outcomes: Callable[[int, list[Outcome]], None] | None = None, maintain_every: int | None = None,
+def start_ingest(store: EngineStore, batches: DataFrame, checkpoint: str, on_outcomes: Callable[[int, list[Outcome]], None] | None = None, maintain_every: int | None = None, maintain_after: int | None = None,
                  clock: Callable[[], int] | None = None, seal_segments: int | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Run the stream of batches into the store.
 
-    ``maintain_every`` micro-batches, rollups are maintained at ``clock()``; with
+    Rollups are maintained at ``clock()``: every ``maintain_every`` micro-batches, and after the first
+    micro-batch that ends ``maintain_after`` microseconds or more after the last time. With
     ``seal_segments``, live files are sealed once there are that many.
     """
+    last = clock() if clock else 0
 
     def each(frame: DataFrame, number: int) -> None:
         outcomes = apply_batches(store, frame)
         store.flush()
         if on_outcomes:
             on_outcomes(number, outcomes)
-        if maintain_every and clock and number % maintain_every == maintain_every - 1:
-            store.maintain(clock())
+        nonlocal last
+        if clock:
+            now = clock()
+            if maintain_every and number % maintain_every == maintain_every - 1 or maintain_after and now - last >= maintain_after:
+                store.maintain(now)
+                last = now
         if seal_segments and sum(not p["sealed"] for p in store.manifest["points"]) >= seal_segments:
             store.seal()
 
