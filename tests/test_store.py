@@ -309,6 +309,28 @@ def test_late_points_of_a_long_gap(spark):
         assert {r["resolution_key"] for r in got} == want and len(got) == len(want)
 
 
+def test_publishing_by_bytes_and_export(spark, root, tmp_path):
+    with EngineStore.open(spark, root, Config(durability="every", every_bytes=700)) as store:
+        store.commit(definitions())
+        seen = []
+        for k in range(12):
+            store.commit(batch(spark, A, k + 1, k + 1, [(k * SEC, k)]))
+            seen.append(store.watermarks(A)["durable"])
+        assert seen[0] is None and any(x for x in seen) and seen == sorted(seen, key=lambda x: x or 0) and len(set(seen)) < 8
+        store.flush()
+        assert store.watermarks(A) == {"accepted": 12, "durable": 12}
+        store.seal()
+        store.append(rows(spark, [(99 * SEC, 1)]))
+        assert store.create_segment(f"file://{tmp_path}/out")["points"] == 13
+        with pytest.raises(InvalidArgument):
+            store.create_segment(f"file://{tmp_path}/out")
+        names = ["series_id", "valid_time", "value"]
+        assert sorted(spark.read.parquet(f"file://{tmp_path}/out").select(*names).collect()) == sorted(store.points().select(*names).collect())
+    for wrong in ({"durability": "every"}, {"every_bytes": 5}):
+        with pytest.raises(ConfigError):
+            Config(**wrong)
+
+
 def test_many_spans(spark):
     from tidewatt import store as module
 

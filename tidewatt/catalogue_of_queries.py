@@ -131,8 +131,13 @@ register("counter_delta", _COUNTER_SQL)(lambda spark, d: A.counter(_winners(spar
 register("counter_merge", _COUNTER_SQL)(lambda spark, d: A.merge_counters(A.counter_states(_winners(spark, d))).select(*_COUNTER_COLUMNS, _r("positive_delta", 3).alias("positive_delta"), "resets"))
 register("running_counter", f"""WITH {NEXT_SQL} SELECT series_id, valid_time, round(coalesce(sum({_STEP_SQL}) OVER (PARTITION BY series_id ORDER BY valid_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS increase FROM n""")(
     lambda spark, d: A.running_counter(_winners(spark, d)).withColumn("increase", _r("increase", 3)))
-register("interval_total", f"WITH {LATEST_SQL} SELECT series_id, round(sum(value), 4) AS total, count(*) AS count, CAST(0 AS BIGINT) AS spanned FROM w GROUP BY 1")(
-    lambda spark, d: A.interval_totals(_winners(spark, d)).withColumn("total", _r("total")))
+@register("interval_total", f"""WITH {LATEST_SQL} SELECT series_id, round(sum(value), 4) AS total, count(*) AS count, CAST(sum(append_seq % 4 * {HOUR // 4}) AS BIGINT) AS spanned FROM w GROUP BY 1""")
+def interval_total(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of intervals of up to three quarters of an hour."""
+    spans = _winners(spark, d).withColumn("valid_time_end", F.col("valid_time") + F.col("append_seq") % 4 * (HOUR // 4))
+    return A.interval_totals(spans).withColumn("total", _r("total"))
+
+
 register("state_duration", f"""WITH {LATEST_SQL}, s AS (SELECT series_id, valid_time, floor(value / 100) AS value FROM w), n AS (SELECT *, lead(valid_time) OVER (PARTITION BY series_id ORDER BY valid_time) AS t1 FROM s)
 SELECT series_id, value AS state, count(*) AS reports, CAST(coalesce(sum(t1 - valid_time), 0) AS BIGINT) AS duration, max(valid_time) AS last_seen FROM n GROUP BY 1, 2""")(
     lambda spark, d: A.state_durations(_winners(spark, d).withColumn("value", F.floor(F.col("value") / 100).cast("double"))))

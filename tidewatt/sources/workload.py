@@ -197,7 +197,7 @@ def write_bundle(tables: dict[str, DataFrame], folder: str, seed: int = 0) -> di
 
 
 def _checksum(spark: SparkSession, folder: str) -> str:
-    row = spark.read.parquet(f"{folder}/snapshot/points").agg(F.bit_xor(F.xxhash64(*[F.col(c).cast("string") for c in S.POINT_IDENTITY]))).first()
+    row = spark.read.parquet(f"{folder}/snapshot/points").agg(F.sum(F.xxhash64(*[F.col(c).cast("string") for c in S.POINT_IDENTITY]).cast("decimal(20,0)"))).first()
     return str(row[0] or 0)
 
 

@@ -43,15 +43,18 @@ _POINTS_STORED = [*S.POINT_FIELDS, "valid_day"]
 
 @dataclass
 class Config:
-    durability: str = "always"  # or "manual": visible to this handle, published by flush()
+    durability: str = "always"  # or "manual": visible to this handle, published by flush(); or "every": by as many bytes
+    every_bytes: int = 0
     max_batch_points: int = S.MAX_BATCH_POINTS
     max_batch_bytes: int = S.MAX_BATCH_BYTES
     max_store_bytes: int | None = None
     min_free_bytes: int | None = None
 
     def __post_init__(self):
-        if self.durability not in ("always", "manual"):
+        if self.durability not in ("always", "manual", "every"):
             raise ConfigError(f"unknown durability {self.durability}")
+        if (self.every_bytes > 0) != (self.durability == "every"):
+            raise ConfigError("every_bytes is for the durability \"every\", and positive")
         if not 0 < self.max_batch_points <= 1 << S.BATCH_BITS or self.max_batch_bytes <= 0:
             raise ConfigError("a batch limit is out of range")
 
@@ -130,6 +133,7 @@ class EngineStore:
         self.spark, self.root, self.manifest, self.config, self.token = spark, root, manifest, config, token
         self.published = manifest["generation"]
         self.poisoned = False
+        self.pending_bytes = 0
 
     # --- opening ---
 
@@ -193,7 +197,7 @@ class EngineStore:
             except Exception:
                 self.poisoned = True
                 raise
-            self.published = manifest["generation"]
+            self.published, self.pending_bytes = manifest["generation"], 0
             for name in [n for n in files.names(self.spark, f"{self.root}/manifests") if n.endswith(".json")][:-KEEP_GENERATIONS]:
                 files.delete(self.spark, f"{self.root}/manifests/{name}")
         self.manifest = manifest
@@ -357,13 +361,15 @@ class EngineStore:
             files.delete(self.spark, self._path(segment["path"]))
             return Commit(None, 0, 0)
         manifest = {**self.manifest, "next_commit": seq + width, "points": [*self.manifest["points"], segment]}
-        self._finish(manifest, segment)
+        self._finish(manifest, segment, files.size(self.spark, self._path(segment["path"])))
         return Commit(seq, 0, segment["points"])
 
-    def _finish(self, manifest: dict, segment: dict | None) -> None:
+    def _finish(self, manifest: dict, segment: dict | None, size: int) -> None:
         if segment and segment["points"] and self.manifest["n_descriptors"]:
             manifest = self._invalidate(manifest, self._segment(segment["path"]))
-        self._publish(manifest, durable=self.config.durability == "always")
+        self.pending_bytes += size
+        c = self.config
+        self._publish(manifest, durable=c.durability == "always" or c.durability == "every" and self.pending_bytes >= c.every_bytes)
 
     def _invalidate(self, manifest: dict, points: DataFrame) -> dict:
         """Late data: descriptors that the points reach go, the rest stays current."""
@@ -462,7 +468,7 @@ class EngineStore:
         if tx.source_id is not None:
             known = manifest["sources"].get(tx.source_id, {"durable": None})
             manifest["sources"] = {**manifest["sources"], tx.source_id: {**known, "accepted": tx.sequence}}
-        self._finish(manifest, segment)
+        self._finish(manifest, segment, size)
         return Commit(seq, tx.records, n)
 
     # --- rollups ---
@@ -576,6 +582,13 @@ class EngineStore:
         self._publish({**self.manifest, "points": [p for p in self.manifest["points"] if p["sealed"]] + [segment]})
         return {"sealed_points": segment["points"], "files": len(live)}
 
+    def create_segment(self, path: str) -> dict:
+        """Export all points of this handle, sealed or not, as one table sorted like a sealed file; nothing may be there."""
+        if files.exists(self.spark, path):
+            raise InvalidArgument(f"{path} is there already")
+        self.points().repartitionByRange("valid_day", "series_id", "valid_time").sortWithinPartitions("valid_day", "series_id", "valid_time", "knowledge_time", "change_time", "append_seq").write.partitionBy("valid_day").parquet(path)
+        return {"points": sum(p["points"] for p in self.manifest["points"]), "generation": self.manifest["generation"]}
+
     def _referenced(self, manifests: list[dict]) -> set[str]:
         names = set()
         for m in manifests:
