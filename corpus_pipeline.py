@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = runtime.materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs, path = runtime.materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before:  # its reader has been written
+            runtime.remove(spark, before)
+        before = path
     return docs
