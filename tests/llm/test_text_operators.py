@@ -512,6 +512,26 @@ def test_near_vectors(spark):
         (1, 1, 1, True), (1, 1, 1, True), (50, 0, 50, True), (None, 0, None, False), (None, 0, None, False)]
 
 
+def test_vectors_are_shuffled_once(spark):
+    """Shuffles and disk follow the vectors, not the pairs of their tiles; copies on both sides of a cut are one class."""
+    from tidewatt.llm import vectors
+
+    def shuffled():
+        return sum(e.totalShuffleWrite() for e in (spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(k) for k in range(spark.sparkContext._jsc.sc().statusStore().executorList(False).size())))
+
+    x = np.random.default_rng(9).normal(size=(640, 64))
+    frame = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    before = shuffled()
+    assert {(r["n_links"], r["component_id"] == r["vec_id"]) for r in vectors.near_vectors(frame, tile=8).collect()} == {(0, True)}
+    assert 0 < shuffled() - before < 4 * x.nbytes
+    same = spark.createDataFrame([(k, x[0 if k % 3 else k // 30].tolist()) for k in range(300)], "vec_id long, embedding array<double>")
+    given = collections.defaultdict(list)
+    for r in same.collect():
+        given[tuple(r["embedding"])].append(r["vec_id"])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(same, tile=4).collect()}
+    assert got == {k: (len(ids) - 1, min(ids)) for ids in given.values() for k in ids}
+
+
 def test_vectors_of_any_number_of_lengths(spark, monkeypatch):
     """More lengths than have fitted axes, and more tiles than a part of the boxes holds."""
     from tidewatt.llm import vectors
