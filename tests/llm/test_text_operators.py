@@ -357,6 +357,29 @@ def test_simhash_links_of_dense_groups(spark, monkeypatch):
         assert {got.get(x, x) for x in members} == {min(members)}
 
 
+def test_chunks_are_looked_up_as_numbers(texts, monkeypatch):
+    """The ids are the library's for any text; a chunk is learnt once, however its letters are capitalised."""
+    from tidewatt.llm import encoders
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(6)
+    alphabet = ["a", "B", "h", "H\u0331", "\u0331", "j\u030c", "İ", "ı", "Σ", "σ", "ς", "ß", "ẞ", "É", "e\u0301", "Ⅷ", "²", "Ⓐ", "K", "ﬁ", "ǅ", "中", "한", "각", "\u1100\u1161", "\U00010d50", "”", "…", "'s", "'", "'T", ".", "!?", "_", "7", "<|", "|>", "<|startoftext|>", "<|StartOfText|>", "\0", "\x1c", "\x85", "\u3000", "\u200d", "👍🏽"]
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    odd += [" ".join(rng.choices(odd, k=5)) for _ in range(300)] + ["x" * k + "\0" * (k % 3) for k in range(40)] + ["Word " * 9, " \n", ""]
+    encoder = encoders.WordEncoder(path)
+    encoder.table.limit = 1 << 19  # starts anew now and then
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch([t or "" for t in texts] + odd, add_special_tokens=False)]
+    for size in (1, 7, 4000):
+        given = [*texts, *odd]
+        assert [x for k in range(0, len(given), size) for x in encoder.encode(given[k : k + size])] == want
+    learnt = []
+    fresh = encoders.WordEncoder(path)
+    real = fresh._learn
+    monkeypatch.setattr(fresh, "_learn", lambda chunks: learnt.extend(chunks) or real(chunks))
+    fresh.encode(["The the THE tHe", "the"])
+    fresh.encode(["THE"])
+    assert learnt == [b"the"]
+
+
 def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 

@@ -139,18 +139,12 @@ class WordCache:
         if self.bytes > self.limit:
             self.old, self.young, self.bytes = self.young, {}, 0
         young, old = self.young, self.old
-        unseen = []
-        for word in words.difference(young):
-            value = old.get(word)
-            if value is None:
-                unseen.append(word)
-            else:
-                young[word] = value
-                self.bytes += ENTRY_BYTES + len(word) + len(value)
-        if unseen:
-            values = learn(unseen)
-            young.update(zip(unseen, values, strict=True))
-            self.bytes += ENTRY_BYTES * len(unseen) + sum(map(len, unseen)) + sum(map(len, values))
+        missing = words.difference(young)
+        again = list(old.keys() & missing)
+        unseen = list(missing.difference(again)) if again else list(missing)
+        for some, values in ((again, [old[w] for w in again]), (unseen, learn(unseen) if unseen else [])):
+            young.update(zip(some, values, strict=True))
+            self.bytes += ENTRY_BYTES * len(some) + sum(map(len, some)) + sum(map(len, values))
         return young
 
 
