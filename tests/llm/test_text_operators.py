@@ -380,6 +380,29 @@ def test_chunks_are_looked_up_as_numbers(texts, monkeypatch):
     assert learnt == [b"the"]
 
 
+def test_table_of_chunks(monkeypatch):
+    """Chunks that meet in one slot, growth, and a new start: only what was named is found, with its own ids."""
+    from tidewatt.llm import encoders
+
+    for home in (None, lambda self, head, tail, size: np.zeros(len(head), np.int64)):
+        if home:
+            monkeypatch.setattr(encoders.ChunkTable, "_home", home)
+        table = encoders.ChunkTable("<u4", limit=1 << 21)
+        n = 300 if home else 100_000
+        keys = (np.arange(n, dtype=np.uint64) % 7, np.arange(n, dtype=np.uint64) // 7, np.full(n, 12, np.int64))
+        for low in range(0, n, n // 3 + 1):
+            part = slice(low, min(n, low + n // 3 + 1))
+            first = table.add([np.full(k % 3, k, "<u4").tobytes() for k in range(part.start, part.stop)])
+            table.name(first, *(x[part] for x in keys))
+        found = table.find(*keys)
+        assert (found == np.arange(n)).all() and table.full() == (not home)
+        ids, ends = table.take(found[::-1])
+        assert ids.tolist() == [k for k in reversed(range(n)) for _ in range(k % 3)] and ends[-1] == len(ids)
+        assert (table.find(keys[0], keys[1], keys[2] + 1) == -1).all()
+        table.clear()
+        assert (table.find(*keys) == -1).all()
+
+
 def test_packing(docs, empty, texts):
     from tokenizers import Tokenizer
 
