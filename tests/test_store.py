@@ -400,6 +400,32 @@ def test_streaming_ingest_and_reconciliation(spark, root, tmp_path):
         assert spark.sql(f"SELECT value FROM points_of_run('{S.ZERO_ID}') WHERE valid_time = 4").collect()[0][0] == 4
 
 
+def test_batches_committed_together_are_as_one_by_one(spark, root, tmp_path):
+    """Outcomes, receipts, points and watermarks; one generation instead of one a batch."""
+    stray = body(A, 4, 4, [(4, 4)])
+    stray["points"][0]["series_id"] = 77
+    ends = body(A, 5, 5, [(5, 5)])
+    ends["points"][0]["valid_time_end"] = 1
+    sent = [body(A, 1, 1, [(1, 1), (2, 0.1)]), body(A, 1, 1, [(1, 1), (2, 0.1)]), body(A, 2, 2, [(3, -2.5e-7)]), body(A, 3, 2, [(3, 3)]), stray, ends,
+            body(B, 1, 6, [(6, 6)]), body(B, 1, 7, [(7, 7)]), body(B, 2, 8, []), body(S.ZERO_ID, 1, 9, [(9, 9)]), body(B, 3, 10, [(DAY + 1, 1e300)])]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, sent)))
+    (tmp_path / "again").mkdir()
+    (tmp_path / "again" / "a.json").write_text("\n".join(map(json.dumps, [sent[0], sent[2], body(A, 0, 20, [(1, 1)]), sent[6]])))
+    found = []
+    for k, config in enumerate((Config(max_store_bytes=1 << 40), Config())):
+        with EngineStore.open(spark, f"{root}-{k}", config) as store:
+            store.commit(definitions())
+            before = store.manifest["generation"]
+            seen = apply_batches(store, wire.read_batches(spark, str(tmp_path / "in")))
+            assert store.manifest["generation"] - before == (1 if k else 4) and not files.names(spark, f"{root}-{k}/stage")
+            seen += apply_batches(store, wire.read_batches(spark, str(tmp_path / "again")))
+            assert store.check_integrity()["ok"]
+            found.append((seen, sorted(store.commits().collect()), sorted(store.points().collect()), store.all_watermarks(), store.manifest["next_commit"]))
+    assert found[0] == found[1]
+    assert sorted(o["outcome"] for o in found[0][0]) == sorted(["accepted"] * 4 + ["replayed"] * 4 + ["CommitIdConflict", "ModelError", "ModelError", "SourceSequenceConflict", "InvalidArgument", "InvalidArgument", "SequenceNotIncreasing"])
+
+
 def test_bounded_writer(spark, root):
     with EngineStore.open(spark, root) as store:
         store.commit(definitions())

@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatt import schemas as S
 from tidewatt.errors import InvalidArgument, LimitError, ModelError
+from tidewatt.functions import finite
 from tidewatt.store import Transaction
 
 # Bounds of a frame.
@@ -101,5 +103,31 @@ def read_batches(spark: SparkSession, path: str, stream: bool = False, files_per
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).json(path)
 
 
+def heads(frames: DataFrame) -> DataFrame:
+    """A row a batch, computed where the batch lies: its identity, points, bytes and digest of the points (as
+    ``EngineStore`` takes them of a transaction), the error of ``check_batch`` if only points matter for it, and
+    ``alone``: that it has objects or lacks a value, so that it has to be looked at by itself."""
+    points = F.col("points")
+    n = F.when(points.isNull(), 0).otherwise(F.size(points))
+    metadata = reduce(lambda a, b: a + b, [F.when(F.col(k).isNull(), 0).otherwise(F.size(k)) for k in ORDER])
+    lacks = F.exists(points, lambda x: reduce(lambda a, b: a | b, [x[c].isNull() for c in S.POINT_IDENTITY]))
+    bad = F.get(F.filter(points, lambda x: (x["series_id"] == 0) | (x["valid_time_end"] < x["valid_time"]) | ~finite(x["value"])), F.lit(0))
+    texts = F.transform(points, lambda x, k: F.to_json(F.struct(*[(k if c == "append_seq" else x[c]).cast("string") for c in sorted(S.POINT_FIELDS)])))  # without names, as the store's own
+    source = F.col("source_id")
+
+    def error(kind, detail):
+        return F.struct(F.lit(kind.__name__).alias("kind"), detail.alias("detail"))
+
+    refusal = (
+        F.when(source.isNull() | (source == "") | (source == S.ZERO_ID), error(InvalidArgument, F.lit("source zero is reserved")))
+        .when(n > MAX_POINTS, error(LimitError, F.lit("too many points or objects in a batch"))).when(n == 0, error(InvalidArgument, F.lit("an empty batch")))
+        .when(bad.isNotNull(), error(ModelError, F.concat(F.lit("invalid point of series "), bad["series_id"].cast("string")))))
+    own = frames.select(*[c for c in frames.columns if c not in (*ORDER, "points")], n.cast("long").alias("n"), refusal.alias("refusal"), texts.alias("texts"),
+                        (F.coalesce(lacks, F.lit(False)) | (metadata > 0) | F.col("sequence").isNull() | F.col("commit_id").isNull()).alias("alone"))
+    digest = F.sha2(F.array_join(F.sort_array(F.transform("texts", lambda j: F.sha2(j, 256))), ""), 256)
+    size = F.aggregate("texts", F.lit(0).cast("long"), lambda a, j: a + F.length(j))
+    return own.select("*", F.coalesce(size, F.lit(0)).alias("size"), digest.alias("digest")).drop("texts")
+
+
 def ordered(batches: DataFrame) -> DataFrame:
     return batches.orderBy("source_id", "sequence", F.col("commit_id"))

@@ -7,6 +7,7 @@
     stats/<file>/                 per file of points: points and bounds of each series
     descriptors/<file>/           all current rollup descriptors
     rollups/<file>/               buckets
+    stage/<file>/                 batches while they are applied
 
 Readers never list directories. One writer holds ``writer.lock``. A commit writes its files,
 then publishes one manifest that also drops the descriptors its points make wrong: points
@@ -24,10 +25,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewatt import schemas as S
+from tidewatt import errors, schemas as S
 from tidewatt.errors import (
     CommitIdConflict, ConfigError, InvalidArgument, LimitError, LockedError, ModelError, NotAccepted, ReadOnlyError, SequenceNotIncreasing,
-    SourceChanged, SourceSequenceConflict, StorageFault)
+    SourceChanged, SourceSequenceConflict, StorageFault, TidewattError)
 from tidewatt.functions import floor_to
 from tidewatt.operators import aggregates as A, catalog as C, revisions as R, rollup as U
 from tidewatt.plans import coverage as P
@@ -439,6 +440,76 @@ class EngineStore:
             raise SequenceNotIncreasing(f"{tx.source_id}: {tx.sequence} after {last}")
         return self._apply(tx, sha, n, size)
 
+    def commit_together(self, heads: list, frames: DataFrame) -> list[Commit | TidewattError]:
+        """Identified batches of points, in their order, as if each were committed by itself: a commit a head, or the
+        error that refuses it. A refused batch leaves no trace, so the others need not wait for it.
+
+        ``heads`` are rows of ``wire.heads``, ``frames`` the table of their batches. Points are written once, and one
+        manifest shows all of them; numbers of commits and points are those of single commits.
+        """
+        self._writable()
+        names = self.spark.createDataFrame([(h["frame"], h["source_id"], h["sequence"], h["commit_id"]) for h in heads], "frame long, source_id string, sequence long, commit_id string")
+        log = self.commits()  # the driver has these heads, so a table of them can be broadcast
+        receipts = {(r["source_id"], r["sequence"]): (r["commit_id"], r["payload_sha"], Commit(r["commit_seq"], r["records"], r["points"], True))
+                    for r in log.join(F.broadcast(names.select("source_id", "sequence")), ["source_id", "sequence"], "left_semi").collect()}
+        ids = {r[0] for r in log.join(F.broadcast(names.select("commit_id")), "commit_id", "left_semi").select("commit_id").collect()}
+        undefined = self._undefined(frames.join(F.broadcast(names.select("frame")), "frame", "left_semi"))
+        accepted = {k: v["accepted"] for k, v in self.manifest["sources"].items()}
+        first = seq = self.manifest["next_commit"]
+        results: list[Commit | TidewattError] = []
+        taken, rows = [], []
+        for h in heads:
+            source, number, name = h["source_id"], h["sequence"], h["commit_id"]
+            sha, size = hashlib.sha256(b"{}" + h["digest"].encode()).hexdigest() if h["digest"] else "", h["size"] + 2
+            known = receipts.get((source, number))
+            if h["refusal"]:
+                results.append(getattr(errors, h["refusal"]["kind"])(h["refusal"]["detail"]))
+            elif h["n"] > self.config.max_batch_points:
+                results.append(LimitError(f"a batch of more than {self.config.max_batch_points} points"))
+            elif known is not None:
+                results.append(known[2] if known[:2] == (name, sha) else SourceSequenceConflict(f"{source}: {number}"))
+            elif name in ids:
+                results.append(CommitIdConflict(name))
+            elif accepted.get(source) is not None and number <= accepted[source]:
+                results.append(SequenceNotIncreasing(f"{source}: {number} after {accepted[source]}"))
+            elif size > self.config.max_batch_bytes:
+                results.append(LimitError(f"a batch of more than {self.config.max_batch_bytes} bytes"))
+            elif h["frame"] in undefined:
+                results.append(ModelError("; ".join(undefined[h["frame"]])))
+            else:
+                results.append(Commit(seq, 1, h["n"]))
+                receipts[source, number] = (name, sha, Commit(seq, 1, h["n"], True))
+                ids.add(name)
+                accepted[source] = number
+                taken.append((h["frame"], seq))
+                rows.append((source, number, name, 1, h["n"], size, sha, seq))
+                seq += 1
+        if not taken:
+            return results
+        numbers = self.spark.createDataFrame(taken, "frame long, commit_seq long")
+        points = frames.join(F.broadcast(numbers), "frame").select("commit_seq", F.posexplode("points").alias("place", "p"))
+        points = points.select("p.*", (F.shiftleft("commit_seq", S.BATCH_BITS) + F.col("place")).alias("append_seq"))
+        n = sum(r[4] for r in rows)
+        segment = {**self._write_points(points, False, seq - 1, small=n <= S.MAX_BATCH_POINTS), "first": first}
+        if segment["points"] != n:
+            raise StorageFault("a commit lost points")
+        manifest = {**self.manifest, "next_commit": seq, "points": [*self.manifest["points"], segment]}
+        manifest["commits"] = self._add_log(manifest["commits"], "commits", S.RECEIPTS, self.spark.createDataFrame(rows, S.RECEIPTS), first)
+        manifest["sources"] = {**manifest["sources"], **{r[0]: {"durable": None, **manifest["sources"].get(r[0], {}), "accepted": accepted[r[0]]} for r in rows}}
+        self._finish(manifest, segment, sum(r[5] for r in rows))
+        return results
+
+    def _undefined(self, frames: DataFrame) -> dict[int, list[str]]:
+        """Frames whose points name a series or run that the catalogue does not have, and which."""
+        catalog, found = self.catalog(), []
+        for kind, key, rule in (("series", "series_id", "point series is not defined"), ("runs", "run_id", "point run is not defined")):
+            named = frames.select("frame", F.explode(F.array_distinct(F.col(f"points.{key}"))).alias("ref"))
+            own = named if kind == "series" else named.where(F.col("ref") != S.ZERO_ID)
+            lost = own.join(catalog[kind].select(F.col("id").alias("ref")), "ref", "left_anti")
+            found.append(lost.select("frame", F.concat(F.lit(rule + " ("), F.col("ref").cast("string"), F.lit(")")).alias("text")))
+        rows = found[0].unionByName(found[1]).groupBy("frame").agg(F.slice(F.array_sort(F.collect_set("text")), 1, 10).alias("texts")).collect()  # a row a frame at most
+        return {r["frame"]: r["texts"] for r in rows}
+
     def _apply(self, tx: Transaction, sha: str, n: int, size: int) -> Commit:
         if size > self.config.max_batch_bytes:
             raise LimitError(f"a batch of more than {self.config.max_batch_bytes} bytes")
@@ -604,7 +675,7 @@ class EngineStore:
         self._writable()
         kept = [json.loads(files.read_text(self.spark, f"{self.root}/manifests/{n}")) for n in files.names(self.spark, f"{self.root}/manifests") if n.endswith(".json")]
         keep, gone = self._referenced([*kept, self.manifest]), []
-        for folder in ["points", "stats", "commits", "descriptors", "rollups", *[f"catalog/{k}" for k in S.CATALOG]]:
+        for folder in ["points", "stats", "commits", "descriptors", "rollups", "stage", *[f"catalog/{k}" for k in S.CATALOG]]:
             for name in files.names(self.spark, self._path(folder)):
                 if f"{folder}/{name}" not in keep:
                     files.delete(self.spark, self._path(f"{folder}/{name}"))
