@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatt import schemas as S
 from tidewatt.errors import InvalidArgument, LimitError, ModelError
 from tidewatt.functions import bucket_end, bucket_start, floor_to, time_weighted_mean, value_hours
-from tidewatt.operators import aggregates as A, catalog as C, reconcile, revisions as R, rollup as U
+from tidewatt.operators import aggregates as A, catalog as C, fleet, reconcile, revisions as R, rollup as U
 from tidewatt.plans import coverage
 from tidewatt.schemas import DAY, HOUR, MICROS, Resolution
 
@@ -251,3 +251,20 @@ def test_long_chains_and_cycles(spark):
     assert {r["object"] for r in C.cycles(spark.createDataFrame(chain + ring, "id long, ref long"), nodes, "r").collect()} == want
     short = [(k, k - 1) for k in range(1, 20)]
     assert {r["object"] for r in C.cycles(spark.createDataFrame([*short, *ring, (n, 5)], "id long, ref long"), nodes, "r").collect()} == want
+
+
+def test_a_mean_at_the_limit_is_not_past_it(spark):
+    """Sums of doubles go by the order of additions: 119.99999999999999, 120.0 or 120.00000000000001."""
+    from itertools import permutations
+
+    low = high = None
+    for k in range(1, 4000):
+        for x, y, z in permutations((k / 100, (2 * k + 7) / 100, (12000 - 3 * k - 7) / 100)):
+            low = (x, y, z) if x + y + z < 120 else low
+            high = (x, y, z) if x + y + z > 120 else high
+    rows = [(v, "a", t, x, t) for v, values in enumerate((low, high, (40.0, 39.98), (40.0, 40.02))) for t, x in enumerate(values)]
+    readings = spark.createDataFrame(rows, "vehicle long, fleet string, ts long, value double, seq long").coalesce(1)
+    assert [r["vehicle"] for r in fleet.stationary(readings, 0, 10, 40).collect()] == [2]
+    assert [r["vehicle"] for r in fleet.active_slots(readings, 10, 40).collect()] == [3]
+    odd = spark.createDataFrame([(1, "a", 0, x, k) for k, x in enumerate((1e300, None, 1e-30))] + [(2, "a", 0, float("nan"), 0), (3, "a", 0, None, 0)] + [(4, "a", 0, 9e19, k) for k in range(2)], readings.schema)
+    assert {r["vehicle"]: str(r["mean"]) for r in fleet.stationary(odd, 0, 10, 1e301).collect()} == {1: "5e+299", 4: "9e+19"}

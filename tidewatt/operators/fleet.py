@@ -7,7 +7,7 @@ one row a (vehicle, day) from each day to the next that has any reading.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatt.functions import floor_to
 from tidewatt.schemas import DAY
@@ -23,15 +23,26 @@ def below(readings: DataFrame, limit: float) -> DataFrame:
     return last_reading(readings).where(F.col("value") < limit)
 
 
+def exact_mean(name: str) -> Column:
+    """Mean of a column whose sum does not depend on the order of additions.
+
+    A sum of doubles is off by a bit or two, which way goes by the order, and decides whether a mean that is the limit is
+    below it. Readings of at most 18 decimals are added as decimals; where one of a group is none, or the sum does not fit, as doubles.
+    """
+    short = F.col(name).try_cast("decimal(38,18)")
+    whole = F.bool_and(short.cast("double").eqNullSafe(F.col(name)))
+    return F.coalesce(F.when(whole, F.try_sum(short)).cast("double"), F.sum(name)) / F.count(name)
+
+
 def stationary(readings: DataFrame, start: int, end: int, most: float) -> DataFrame:
     """Vehicles whose mean in ``[start, end)`` is below ``most``."""
     own = readings.where((F.col("ts") >= start) & (F.col("ts") < end))
-    return own.groupBy("vehicle", "fleet").agg((F.sum("value") / F.count("value")).alias("mean")).where(F.col("mean") < most)
+    return own.groupBy("vehicle", "fleet").agg(exact_mean("value").alias("mean")).where(F.col("mean") < most)
 
 
 def active_slots(readings: DataFrame, width: int, least: float) -> DataFrame:
     """Slots of ``width`` in which a vehicle's mean is above ``least``."""
-    slots = readings.groupBy("vehicle", "fleet", floor_to(F.col("ts"), width).alias("slot")).agg((F.sum("value") / F.count("value")).alias("mean"))
+    slots = readings.groupBy("vehicle", "fleet", floor_to(F.col("ts"), width).alias("slot")).agg(exact_mean("value").alias("mean"))
     return slots.where(F.col("mean") > least)
 
 
