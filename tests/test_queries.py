@@ -69,3 +69,17 @@ def test_timestamps_of_lines_are_exact(spark, tmp_path):
     stamps = [1704571070203536, 1704571070203537]  # more nanoseconds than a double can tell apart
     (tmp_path / "a").write_text("\n".join(f"readings,name=truck_1,fleet=South velocity=1 {t}000" for t in stamps))
     assert sorted(r["valid_time"] for r in tsbs.read_tsbs(spark, str(tmp_path / "a"))["points"].collect()) == stamps
+
+
+def test_points_of_lines_get_their_series_where_they_are(spark, tmp_path):
+    """No shuffle of points; ids are those of the published rule, for a field whose ordinal carries too, and without tags."""
+    from tidewatt.sources import tsbs
+
+    sets = [{"name": f"truck_{k}", "fleet": "a=b"} for k in range(5)] + [{}]
+    lines = ["diagnostics" + "".join(f",{k}={v}" for k, v in tags.items()) + " status=1i,fuel_state=0.5 7000" for tags in sets]
+    (tmp_path / "a").write_text("\n".join(lines))
+    out = tsbs.read_tsbs(spark, str(tmp_path / "a"))
+    assert "Exchange" not in out["points"]._jdf.queryExecution().executedPlan().toString()
+    want = sorted((u - (1 << 64) if u >> 63 else u, v) for tags in sets for at, v in ((16, 1.0), (14, 0.5)) for u in [tsbs.tag_key(tags) * 16 + at])
+    assert sorted((r["series_id"], r["value"]) for r in out["points"].collect()) == want
+    assert sorted(r["id"] for r in out["series"].collect()) == [k for k, _ in want] and out["entities"].count() == len(sets)

@@ -615,7 +615,7 @@ def tsbs_lines(spark: SparkSession, d: str) -> DataFrame:
     out = tsbs.read_tsbs(spark, folder)
     names = out["series"].select(F.col("id").alias("series_id"), F.col("name").alias("series"), F.col("owner_entity").alias("owner"))
     trucks = out["entities"].select(F.col("id").alias("owner"), F.col("name").alias("truck"))
-    return out["points"].join(names, "series_id").join(trucks, "owner").select("truck", "series", "valid_time", "value")
+    return out["points"].join(names.join(trucks, "owner"), "series_id").select("truck", "series", "valid_time", "value")  # points meet a table once
 
 
 @register("replay_lines", f"SELECT 'd' || (user_id + 1) AS driver, 's' || (user_id * 100 + n + 1) AS metric, {replay.ORIGIN_MICROS // 1000} + offset_ms AS ts_ms, value FROM (SELECT user_id, event_id % 5 AS n, (epoch_us(min(ts)) - {T0}) // 1000 AS offset_ms, CAST(arg_min(value, row(ts, event_id)) AS DOUBLE) AS value FROM events GROUP BY user_id, event_id % 5)")
